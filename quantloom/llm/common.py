@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,14 +73,18 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has few rows and, unless one row is longer, few bytes of the column text."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        size = column.nbytes
-        rows = max(1, min(SLICE_ROWS, int(SLICE_ROWS if size <= SLICE_BYTES else batch.num_rows * SLICE_BYTES / size)))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            end = min(max(end, at + 1), at + SLICE_ROWS)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str | None]:
@@ -88,8 +93,6 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str | None]:
 
 def utf8(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column as one array, and row i's bounds at [i] and [i + 1]; nulls are empty."""
-    import pyarrow.compute as pc
-
     col = pc.cast(pc.fill_null(batch.column(batch.schema.get_field_index(column)), ""), pa.large_string())
     n = len(col)
     if not n:

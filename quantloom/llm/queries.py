@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, media, neardup, pieces, pii, quality
+from . import common, decontaminate, extract, langid, lm, media, neardup, pieces, pii, quality
 
 
 def vocabulary(name: str = "piece_bpe_32k.model") -> str:
@@ -15,10 +15,19 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(common.read(spark, sf_dir, "pages"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sampled(common.read(spark, sf_dir, "documents"), vocabulary(), digest=True)
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return lm.scored(docs, lm.fit(docs))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 
@@ -53,7 +62,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_main_text": op1,
     "op2_piece_sampling": op2,
+    "op3_lm_pseudo_likelihood": op3,
     "op4_decontamination": op4,
     "op5_personal_data": op5,
     "op6_token_counts": op6,
