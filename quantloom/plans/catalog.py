@@ -1,8 +1,6 @@
 """Every registered query of the engine, with its SQL."""
 
-from __future__ import annotations
+from quantloom.plans import catalog_market  # noqa: F401
+from quantloom.plans.registering import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
