@@ -5,10 +5,12 @@
 2. Nodes are posted under each coordinate-value pair; pairs that only one node has cannot collide and fall away.
 3. Prefix: two nodes that agree in MATCHES coordinates must share one among the COORDS - MATCHES + 1 rarest of either, so only those
    are posted; frequent values, such as those of passages that many documents quote, are rarely among them.
-4. Skip merging: a posting list is not expanded into its pairs.  First each list compares its nodes with its smallest one; links found
-   join nodes into components, and only pairs that lie in different components are still open.  As long as the open pairs outnumber
-   what the postings justify, each list compares one more hub, taken outside its largest component; then the open pairs themselves
-   are compared, those outside the largest component with all others.  No open pair is left out, none inside a component is needed.
+4. Skip merging: a posting list is not expanded into its pairs.  First each list compares its nodes with a hub, the one that has most in common with all; links found
+   join nodes into components, and only pairs that lie in different components are still open.  If these outnumber what the postings
+   justify, the nodes of open lists are posted anew under the rarest of their shingles themselves, as many as the prefix rule of the
+   exact threshold asks for, which parts texts that are only half alike; then, as long as it is needed, each list compares one more
+   hub, taken outside its largest component.  At last the open pairs themselves are compared, those outside the largest component of
+   a list with all others.  No open pair is left out, none inside a component is needed.
 5. A compared pair first counts its matching coordinates; those with MATCHES or more are confirmed on the full shingle sets.
 
 With COORDS = 32 and MATCHES = 17, a pair at similarity 0.85 is missed with a probability of about 2e-6, closer ones with less.
@@ -34,7 +36,11 @@ SHINGLE, COORDS, MATCHES = 5, 32, 17
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Open pairs, per posting, that are compared at once rather than by one more hub in each list.
-OPEN_PER_POSTING, HUB_ROUNDS = 8, 6
+OPEN_PER_POSTING, HUB_ROUNDS = 2, 3
+#: Rows of links or postings for each partition, where a step makes far fewer rows than it has partitions.
+EDGES = 50_000
+#: Bytes of text that are hashed at a time; each takes some ten times as much memory.
+SLICE = 1 << 20
 
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -66,7 +72,7 @@ def shingle_sets(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     """The distinct shingles (64-bit hashes, sorted within a text) of texts side by side, and the bounds of each text's."""
     n = len(bounds) - 1
     if len(raw) + 1 > len(_POWER[0]):
-        _POWER[:] = _powers(2 * len(raw) + 1)
+        _POWER[:] = _powers(len(raw) + len(raw) // 8 + 1)
     word = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], word.view(np.int8), [0]))))
     # A text's end also ends a word.
@@ -109,7 +115,7 @@ def signatures(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, "text"):
+    for batch in common.slices(batches, "text", size=SLICE):
         flat, bounds = shingle_sets(*common.utf8(batch, "text"))
         sig = signatures(flat, bounds)
         node = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -117,62 +123,82 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(node, pa.binary()), sigs], ["doc_id", "n_shingles", "node", "sig"])
 
 
-def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, "text"):
-        flat, bounds = shingle_sets(*common.utf8(batch, "text"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))], ["node", "shingles"])
-
-
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, node (digest of the set; null if empty) and sig of each row."""
     return common.mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), _digest, "doc_id long, n_shingles long, node binary, sig array<int>")
 
 
+def sent(df: DataFrame, row_bytes: int, limit: int = common.BROADCAST_BYTES) -> DataFrame:
+    """df, to be sent to all tasks if its counted rows are within the limit; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def _weight() -> "F.Column":
+    """How much a node has in common with others: the member of a group that the others vary has most."""
+    return F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s + k["df"]).alias("weight")
+
+
+def _hubs(posted: DataFrame) -> DataFrame:
+    """key, nid: of each list, the node of the greatest weight."""
+    return posted.groupBy("key").agg(F.max(F.struct("weight", "nid"))["nid"].alias("nid"))
+
+
 def postings(nodes: DataFrame) -> DataFrame:
-    """key, node, n, sig: each node under those of its coordinate-value pairs that are in its prefix and that another node has too."""
-    each = nodes.select("node", F.posexplode("sig").alias("coord", "value"))
-    each = each.select("node", (F.col("coord").cast("long") * (1 << 32) + F.col("value").cast("long").bitwiseAND((1 << 32) - 1)).alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    held = each.join(shared, "key")
+    """key, nid, weight, n: each node under those of its coordinate-value pairs that are in its prefix and that another node has too."""
+    each = nodes.select("nid", F.posexplode("sig").alias("coord", "value"))
+    each = each.select("nid", (F.col("coord").cast("long") * (1 << 32) + F.col("value").cast("long").bitwiseAND((1 << 32) - 1)).alias("key"))
+    shared = common.settled(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    held = each.join(sent(shared, 32), "key")
     # Rarest first; a node's values that no other has come before all of them.  A node holds at most COORDS.
-    ranked = held.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    ranked = held.groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
     room = F.size("keys") - (MATCHES - 1)
-    prefix = ranked.where(room > 0).select("node", F.explode(F.slice("keys", F.lit(1), room)).alias("k")).select("node", F.col("k.key").alias("key"))
-    return prefix.join(nodes.select("node", "n_shingles", "sig"), "node")
+    prefix = ranked.where(room > 0).select("nid", _weight(), F.explode(F.slice("keys", F.lit(1), room)).alias("k")).select("nid", "weight", F.col("k.key").alias("key"))
+    posted = prefix.join(nodes.select("nid", F.col("n_shingles").alias("n")), "nid")
+    # Lists that hold one node, as the others have the value outside their prefix, have nothing to compare.
+    return posted
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b: each pair of left and right that shares a key, agrees in enough coordinates and can be similar enough by size; once."""
-    x = left.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"), *([F.col("comp").alias("ca")] if "comp" in left.columns else []))
-    y = right.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"), *([F.col("comp").alias("cb")] if "comp" in right.columns else []))
-    met = x.join(y, "key").where("a <> b and 100 * least(na, nb) >= %d * greatest(na, nb)" % PERCENT)
+    """a, b: each pair of left and right that shares a key and can be similar enough by size; once."""
+    x = left.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(n) for c, n in (("comp", "ca"), ("rest", "xa")) if c in left.columns])
+    y = right.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(n) for c, n in (("comp", "cb"), ("rest", "xb")) if c in right.columns])
+    met = x.join(y, "key").where(f"a <> b and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
     if "comp" in left.columns and "comp" in right.columns:
         met = met.where("ca <> cb")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    return met.where(same >= MATCHES).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if "rest" in left.columns:
+        met = met.where(f"100 * least(xa, xb) >= {PERCENT} * (na + nb - least(xa, xb))")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
-    x = x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
+def _confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that agree in enough coordinates and whose full sets are similar enough."""
+    signs = sent(signs, 64 + 4 * COORDS)
+    x = pairs.join(signs.select(F.col("nid").alias("a"), F.col("sig").alias("sa")), "a").join(signs.select(F.col("nid").alias("b"), F.col("sig").alias("sb")), "b")
+    same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+    likely = common.settled(x.where(same >= MATCHES).select("a", "b"))
+    inside = sets.join(sent(likely.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), 32), "nid", "left_semi")
+    x = likely.join(inside.select(F.col("nid").alias("a"), F.col("shingles").alias("xa")), "a")
+    x = x.join(inside.select(F.col("nid").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb")).cast("long")
     return x.withColumn("both", both).where(f"100 * both >= {PERCENT} * (size(xa) + size(xb) - both)").select("a", "b")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, comp (the smallest node that it reaches) of every node of edges (a, b): large-star and small-star steps in turn, until
+    """nid, comp (the smallest node that it reaches) of every node of edges (a, b): large-star and small-star steps in turn, until
     each component is a star.  Only counts come to the driver."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = common.settled(edges)
+    # Few edges are held in few partitions (one needs no shuffles at all); the steps are the same.
+    parts = edges.count() // EDGES + 1
     for _ in range(most):
+        edges = edges.coalesce(parts)
         # Large star: the larger neighbours of each node go to its smallest one.
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: the smaller neighbours of each node, and itself, go to its smallest one.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = large.join(least, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))))
         new = common.settled(small.where("a <> b").distinct())
         # Stars: no node is both a larger and a smaller end, and none has two smaller ends.
         odd = new.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
@@ -182,60 +208,90 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    return edges.select(F.inline(F.array(F.struct(F.col("a").alias("nid"), F.col("b").alias("comp")), F.struct(F.col("b").alias("nid"), F.col("b").alias("comp"))))).distinct()
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """node, n_shingles, sig and least (the smallest doc_id) of each non-empty set of rows, numbered by nid."""
+    nodes = rows.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min("doc_id").alias("least"))
+    return common.settled(nodes.withColumn("nid", F.monotonically_increasing_id()))
 
 
-def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: DataFrame | None = None) -> DataFrame:
-    """node, comp of the nodes that have links with other nodes.  rows: digests(docs), if already there."""
-    rows = common.settled(digests(docs, doc_id, text)) if rows is None else rows
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """nid, comp of the nodes that have links with other nodes."""
     posted = common.settled(postings(nodes))
-    inside = posted.select("node").distinct()
-    # Full sets, made again from the text, of posted nodes alone; one row for each.
-    members = rows.where("node is not null").join(inside, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = common.settled(common.mapped(source.join(members.where("doc_id is not null"), "doc_id").select("node", "text"), _sets, "node binary, shingles array<long>").where("shingles is not null").dropDuplicates(["node"]))
     total = posted.count()
-    hub = posted.groupBy("key").agg(F.min("node").alias("node"))
-    links = common.settled(_confirmed(_pairs(posted.join(hub, ["key", "node"]), posted), sets))
-    for turn in range(HUB_ROUNDS + 1):
-        comp = common.settled(components(links))
-        now = posted.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = now if not turn else now
-        sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("most")).where("comps > 1")
+    posted = posted.coalesce(total // EDGES + 1)
+    inside = posted.select("nid").distinct()
+    posted_nodes = common.settled(nodes.join(inside, "nid", "left_semi").select("nid", "node", "least", "sig"))
+    signs = posted_nodes.select("nid", "sig")
+    # Full sets, made again from the text, of posted nodes alone.
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    members = posted_nodes.where("least is not null").select(F.col("least").alias("doc_id"), "nid", "node")
+    sets = common.mapped(source.join(sent(members, 96), "doc_id").select("node", "nid", "text"), _sets, "nid long, shingles array<long>")
+    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["nid"])  # ids of several rows
+    sets = common.settled(sets)
+    links = common.settled(_confirmed(_pairs(posted.join(_hubs(posted), ["key", "nid"]), posted), signs, sets))
+    comp, refined, last, turns = common.settled(components(links)), False, False, 0
+    while not last:
+        now = posted.join(sent(comp, 48), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("most"))
+        main = common.settled(main.where("comps > 1"))
         left = main.agg(F.sum(F.expr("(n - most) * n"))).first()[0] or 0
         if not left:
             break
-        outside = now.join(main.select("key", "main"), "key").where("comp <> main")
-        if last := left <= OPEN_PER_POSTING * total or turn == HUB_ROUNDS:
-            hubs = outside
-        else:
-            hubs = outside.join(outside.groupBy("key").agg(F.max("node").alias("node")), ["key", "node"]).drop("main")
-        new = common.settled(_confirmed(_pairs(hubs, now), sets))
-        links = links.union(new)
-        if last:
-            comp = common.settled(components(links)) if new.limit(1).count() else comp
-            break
+        last = left <= OPEN_PER_POSTING * total or turns == HUB_ROUNDS
+        open_lists = now.join(sent(main.select("key"), 32), "key", "left_semi")
+        if not last and not refined:
+            posted, refined = common.settled(fine_postings(open_lists.select("nid").distinct(), sets)), True
+            total = posted.count()
+            posted = posted.coalesce(total // EDGES + 1)
+            continue
+        outside = now.join(main.select("key", "main"), "key").where("comp <> main").drop("main")
+        hubs = outside if last else outside.join(_hubs(outside), ["key", "nid"])
+        new = common.settled(_confirmed(_pairs(hubs, open_lists), signs, sets))
+        if new.limit(1).count():
+            links = links.union(new)
+            comp = common.settled(components(links))
+        turns += 1
     return comp
 
 
+def fine_postings(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, nid, n, weight, rest: nodes under the rarest of their shingles, n - ceil(n * PERCENT / 100) + 1 of n, of which two similar sets share
+    one; rest: how many shingles the node has from this one on in the common order, rarest first."""
+    each = sets.join(sent(open_nodes, 32), "nid", "left_semi").select("nid", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(shared, "key").groupBy("nid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    least = F.expr(f"cast((n * {PERCENT} + 99) div 100 as int)")
+    room = F.size("keys") - least + 1
+    posted = ranked.where(room > 0).select("nid", "n", _weight(), (F.col("n") - F.size("keys")).alias("alone"), F.posexplode(F.slice("keys", F.lit(1), room)).alias("nth", "k"))
+    posted = common.settled(posted.select(F.col("k.key").alias("key"), "nid", "n", "weight", (F.col("n") - F.col("alone") - F.col("nth")).alias("rest")))
+    # Where two sets first meet in the common order, they share no more than what is left of either; a node leaves a list in which no
+    # partner is small enough for that.
+    small = posted.groupBy("key").agg(F.min("n").alias("low"))
+    return posted.join(small, "key").where(100 * F.col("rest") >= PERCENT * (F.col("n") + F.greatest("low", least) - F.col("rest"))).drop("low")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, shingles; null where the text is not the one that the node stands for (an id that several texts share)."""
-    for batch in common.slices(batches, "text"):
+    """nid, shingles; without texts other than the one that the node stands for (of an id that several texts share)."""
+    for batch in common.slices(batches, "text", size=SLICE):
         flat, bounds = shingle_sets(*common.utf8(batch, "text"))
         keep = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() == n for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column(0).to_pylist(), strict=True)]
         full = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), full], ["node", "shingles"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(1), full], ["nid", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     rows = common.settled(digests(docs, doc_id, text))
-    comp = linked(docs, doc_id, text, rows)
-    named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left")
-    named = named.select("node", F.coalesce("comp", "node").alias("comp"), "least")
-    names = named.join(named.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("node", "name")
+    nodes = distinct_sets(rows)
+    comp = linked(docs, rows, nodes, doc_id, text)
+    joined = comp.join(nodes.select("nid", "node", "least"), "nid")
+    named = joined.join(joined.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("node", "name")
+    names = nodes.select("node", "least").join(sent(named, 96), "node", "left").select("node", F.coalesce("name", "least").alias("name"))
     out = rows.select("doc_id", "n_shingles", "node").join(names, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("name"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
@@ -250,14 +306,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", li
     twice = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id)
     gone, twice = common.settled(gone), common.settled(twice)
 
-    def sent(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() * 16 <= limit else df
-
     if not twice.limit(1).count():
-        return docs.join(sent(gone), doc_id, "left_anti")
+        return docs.join(sent(gone, 32, limit), doc_id, "left_anti")
     # Ids of several rows: a row stays if its own text is in the component that the id names; of several, the first by text.
-    once = docs.join(sent(twice), doc_id, "left_anti").join(sent(gone), doc_id, "left_anti")
-    again = docs.join(sent(twice), doc_id, "left_semi")
+    once = docs.join(sent(twice, 32, limit), doc_id, "left_anti").join(sent(gone, 32, limit), doc_id, "left_anti")
+    again = docs.join(sent(twice, 32, limit), doc_id, "left_semi")
     stays = found.where("kept").select(F.col("doc_id").alias(doc_id)).distinct()
     from pyspark.sql import Window
 
