@@ -29,8 +29,9 @@ def coverage_severity(share: Column, info: float, warn: float) -> Column:
     return F.when(share >= info, "INFO").when(share >= warn, "WARN").otherwise("ERROR")
 
 
-def count_severity(errors: Column, warns: Column = F.lit(0)) -> Column:
-    return F.when(errors > 0, "ERROR").when(warns > 0, "WARN").otherwise("INFO")
+def count_severity(errors: Column, warns: Column | None = None) -> Column:
+    severity = F.when(errors > 0, "ERROR")
+    return (severity if warns is None else severity.when(warns > 0, "WARN")).otherwise("INFO")
 
 
 def coverage(bars: DataFrame, listings: DataFrame, keys: list[str], time: str, hours: int, info: float, warn: float) -> DataFrame:
@@ -116,7 +117,8 @@ def missing_legs(universe: DataFrame, bars: DataFrame) -> DataFrame:
     return x.withColumn("passed", (F.col("n_spot") > 0) & (F.col("n_perp") > 0))
 
 
-def _row(df: DataFrame, name: str, severity: Column, details: list[str], symbol: Column = F.lit(None), market: Column = F.lit(None)) -> DataFrame:
+def _row(df: DataFrame, name: str, severity: Column, details: list[str], symbol: str | None = None, market: str | None = None) -> DataFrame:
+    symbol, market = (F.lit(None) if c is None else F.col(c) for c in (symbol, market))
     return df.select(F.lit(name).alias("name"), (severity != "ERROR").alias("passed"), severity.alias("severity"), symbol.cast("string").alias("symbol"), market.cast("string").alias("market"), F.to_json(F.struct(*details)).alias("details_json"))
 
 
@@ -127,10 +129,10 @@ def suite(bars: DataFrame, funding: DataFrame, universe: DataFrame, listings: Da
     k1 = coverage(bars, listings.where("market <> 'perp_funding'"), ["symbol", "market"], "open_time", 1, 0.999, 0.99)
     f2 = coverage(funding, listings.where("market = 'perp_funding'").select("symbol", "listing"), ["symbol"], "funding_time", 8, 0.9995, 0.99)
     found = [
-        _row(k1, "K1_coverage", F.col("severity"), ["n", "expected", "share"], F.col("symbol"), F.col("market")),
-        _row(extremes(bars, tiers), "K6_extreme_returns", count_severity(F.lit(0), n), ["n"], F.col("symbol"), F.col("market")),
-        _row(basis(bars, tiers), "K7_spot_perp_basis", F.col("severity"), ["n_bars", "n_warn", "n_fail"], F.col("symbol")),
-        _row(f2, "F2_funding_coverage", F.col("severity"), ["n", "expected", "share"], F.col("symbol")),
+        _row(k1, "K1_coverage", F.col("severity"), ["n", "expected", "share"], "symbol", "market"),
+        _row(extremes(bars, tiers), "K6_extreme_returns", count_severity(F.lit(0), n), ["n"], "symbol", "market"),
+        _row(basis(bars, tiers), "K7_spot_perp_basis", F.col("severity"), ["n_bars", "n_warn", "n_fail"], "symbol"),
+        _row(f2, "F2_funding_coverage", F.col("severity"), ["n", "expected", "share"], "symbol"),
         _row(duplicates(bars, ["symbol", "market", "open_time"]), "K2_duplicates", count_severity(n), ["n"]),
         _row(ohlc_faults(bars), "K3_ohlc", count_severity(n), ["n"]),
         _row(negatives(bars), "K4_non_negative", count_severity(n), ["n"]),
