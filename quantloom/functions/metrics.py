@@ -30,7 +30,7 @@ def sharpe_population(ret: str, ppy: float) -> Column:
 
 def sortino(ret: str, ppy: float, target: float = 0.0) -> Column:
     r = clean(ret)
-    down = F.sqrt(F.avg(F.pow(F.least(r - target, F.lit(0.0)), 2)))
+    down = F.sqrt(F.avg(F.when(r.isNotNull(), F.pow(F.least(r - target, F.lit(0.0)), 2))))  # least() alone would make nulls 0
     return F.when((F.count(r) >= 2) & (down > 0), (F.avg(r) - target) / down * math.sqrt(ppy))
 
 
