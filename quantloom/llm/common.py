@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quantloom.session import shipped
 
 #: Rows, and bytes of text, that a Python worker holds as objects at a time.  One row may exceed it.
-SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 2048, 2 << 20
 #: Largest data (bytes, as counted before sending) that an operator sends to all executors.
 BROADCAST_BYTES = 32 << 20
 

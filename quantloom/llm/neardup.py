@@ -27,8 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -286,6 +287,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
+    return _grouped(docs, doc_id, text).drop("node")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = common.settled(digests(docs, doc_id, text))
     nodes = distinct_sets(rows)
     comp = linked(docs, rows, nodes, doc_id, text)
@@ -294,26 +299,36 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     names = nodes.select("node", "least").join(sent(named, 96), "node", "left").select("node", F.coalesce("name", "least").alias("name"))
     out = rows.select("doc_id", "n_shingles", "node").join(names, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("name"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("node", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = common.BROADCAST_BYTES) -> DataFrame:
-    """docs with one document of each group: the one of the smallest doc_id; of rows that repeat that id, the first by text.
+    """docs with one document of each group: a row whose text is in the component that its doc_id names; of several, one.
 
     Rows with a null doc_id stay: nothing names them.  The ids that go are sent to the documents if they are few, else joined."""
-    found = common.settled(grouped(docs, doc_id, text))
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    twice = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id)
-    gone, twice = common.settled(gone), common.settled(twice)
-
+    found = common.settled(_grouped(docs, doc_id, text))
+    gone = common.settled(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct())
+    twice = common.settled(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id))
     if not twice.limit(1).count():
         return docs.join(sent(gone, 32, limit), doc_id, "left_anti")
-    # Ids of several rows: a row stays if its own text is in the component that the id names; of several, the first by text.
+    # Ids of several rows: these rows are told apart by their texts' digests.
+    gone = gone.join(sent(twice, 32, limit), doc_id, "left_anti")
     once = docs.join(sent(twice, 32, limit), doc_id, "left_anti").join(sent(gone, 32, limit), doc_id, "left_anti")
-    again = docs.join(sent(twice, 32, limit), doc_id, "left_semi")
-    stays = found.where("kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    from pyspark.sql import Window
+    node, nth = common.fresh("node", docs.columns), common.fresh("nth", docs.columns)
+    again = docs.join(sent(twice, 32, limit), doc_id, "left_semi").select(*docs.columns)
+    again = common.mapped(again, _tagged(text, node), T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())]))
+    stays = found.where("kept").select(F.col("doc_id").alias(doc_id), F.coalesce("node", F.lit(b"")).alias(node)).distinct()
+    first = again.join(stays, [doc_id, node], "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(doc_id, node).orderBy(text))).where(F.col(nth) == 1)
+    return once.select(*docs.columns).unionByName(first.select(*docs.columns))
+
+
+def _tagged(text: str, node: str):
+    """Rows with the digest of their text's set; empty bytes for an empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, text, size=SLICE):
+            flat, bounds = shingle_sets(*common.utf8(batch, text))
+            tags = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() if b > a else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.binary())], [*batch.schema.names, node])
 
-    nth = common.fresh("nth", docs.columns)
-    first = again.join(stays, doc_id, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(doc_id).orderBy(text))).where(F.col(nth) == 1).drop(nth)
-    return once.unionByName(first.select(*docs.columns))
+    return run

@@ -19,7 +19,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = "▁"
-#: Distinct parts that a worker remembers; beyond, it forgets all and goes on.
-REMEMBERED = 400_000
+#: Distinct parts that a task remembers; beyond, it forgets all and goes on.
+REMEMBERED = 120_000
+#: Bytes of text whose pieces are drawn at a time.
+SLICE = 4 << 20
 _UNITS = re.compile(r" +[^ ]*")
 
 
@@ -87,14 +88,11 @@ class Memo:
         return out
 
 
-_memo: dict[str, Memo] = {}
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_tokens as the library's encode would give, over_limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo.setdefault(path, Memo(path))
+        memo = Memo(path)
         for batch in common.slices(batches, "text"):
             n = pa.array(memo.counts(common.texts(batch, "text")), pa.int64())
             over = pa.array([x > limit for x in n.to_pylist()], pa.bool_())
@@ -105,91 +103,131 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, doc_id: str = "d
 
 
 class Lattice:
-    """Filtered lattices of parts, side by side in arrays: for each end position the arcs into it, with cumulative probability."""
+    """The pieces as a trie read from their ends, in arrays; and the lattices of the distinct parts of a slice of texts.
+
+    A lattice has a node for each place of a part, numbered in a row over all parts; of nodes, the first arc into them and their weight;
+    of arcs, by the node that they end in, their weight, length and piece (a character outside the vocabulary: minus it, less 1)."""
+
+    #: Parts up to this length are filtered together; longer ones one by one, with weights that are raised before they vanish.
+    SHORT = 40
 
     def __init__(self, path: str) -> None:
         sp = processor(path)
-        self.size = sp.get_piece_size()
-        ids = [i for i in range(self.size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.weight = {sp.id_to_piece(i).replace(SPACE, " "): (i, 1.0 / (i + 2)) for i in ids}
-        self.longest = max(map(len, self.weight), default=1)
-        #: Pieces, and the beginnings of pieces with None.
-        self.begun = {p[:k]: None for p in self.weight for k in range(1, len(p))} | self.weight
+        ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        pieces = {sp.id_to_piece(i).replace(SPACE, " "): i for i in ids}
+        self.longest = max(map(len, pieces), default=1)
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.cuts = sp.cuts
-        self.clear()
-
-    def clear(self) -> None:
-        #: Of parts: their number; their last node and their length.  Of nodes: the first arc into them.  Of arcs: cumulative probability, nodes back, piece (a character outside the vocabulary: minus the character, less 1).
-        self.number: dict[str, int] = {}
-        self.end, self.length = array("q"), array("q")
-        self.first, self.cum, self.back, self.piece = array("q"), array("d"), array("i"), array("i")
-        self.nodes = 0
-
-    def add(self, key: str) -> int:
-        """The number of a part, whose nodes are numbered in a row from its start.  key: the part without a first space."""
-        part = key if key[:1] == "\n" else " " + key
-        base, n = self.nodes, len(part)
-        into, total = self.filtered(part) if n <= 40 else self.filtered_long(part)
-        cum, back, piece, arcs = [], [], [], len(self.cum)
-        first = [arcs]
-        for j in range(1, n + 1):
-            s, found = total[j], into[j]
-            first.append(arcs + len(cum))
-            for c, i, p in found:
-                cum.append(c / s)
-                back.append(j - i)
-                piece.append(p)
-            cum[-1] = 1.0
-        self.first.fromlist(first)
-        self.cum.fromlist(cum)
-        self.back.fromlist(back)
-        self.piece.fromlist(piece)
-        self.nodes += n + 1
-        self.number[key] = k = len(self.end)
-        self.end.append(base + n)
-        self.length.append(n)
-        return k
-
-    def filtered(self, part: str) -> tuple[list[list[tuple]], list[float]]:
-        """For each position the arcs into it (weight so far, from where, piece) and its weight; for parts too short to underflow."""
-        begun, n = self.begun, len(part)
-        into, total = [[] for _ in range(n + 1)], [1.0] + [0.0] * n
-        for i in range(n):
-            if not (t := total[i]):
-                t = total[i] = total[i - 1] * 1e-6
-                into[i].append((t, i - 1, -ord(part[i - 1]) - 1))
-            j = i
-            while j < n:
-                j += 1
-                if (p := part[i:j]) not in begun:
-                    break
-                if w := begun[p]:
-                    total[j] = s = total[j] + t * w[1]
-                    into[j].append((s, i, w[0]))
-        if n and not total[n]:
-            total[n] = total[n - 1] * 1e-6
-            into[n].append((total[n], n - 1, -ord(part[n - 1]) - 1))
-        return into, total
-
-    def filtered_long(self, part: str) -> tuple[list[list[tuple]], list[float]]:
-        """The same at any length: the weights that later positions need are raised before they vanish."""
-        n, get, longest = len(part), self.weight.get, self.longest
-        into, total, seen = [[] for _ in range(n + 1)], [1.0] + [0.0] * n, [1.0] + [0.0] * n
-        for j in range(1, n + 1):
+        children, at = {}, {}
+        for p, i in pieces.items():
+            state = 0
+            for c in reversed(p):
+                state = children.setdefault(state << 21 | ord(c), len(children) + 1)
+            at[state] = i
+        self.piece_at = np.full(len(children) + 1, -1, np.int32)
+        self.piece_at[list(at)] = list(at.values())
+        self.weight_at = 1.0 / (self.piece_at + 2.0)
+        # An open-addressed table of the children: slots by a multiplicative hash, the next ones on collision.
+        self.shift = np.uint64(64 - (4 * len(children)).bit_length())
+        self.key = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.child = np.full(len(self.key), -1, np.int32)
+        keys, states = np.array(list(children), np.int64), np.arange(1, len(children) + 1, dtype=np.int32)
+        slot = self.slots(keys)
+        while len(keys):
+            free = self.key[slot] < 0
+            _, first = np.unique(np.where(free, slot, -1), return_index=True)
+            put = first[free[first]]
+            self.key[slot[put]], self.child[slot[put]] = keys[put], states[put]
+            rest = np.ones(len(keys), bool)
+            rest[put] = False
+            keys, states, slot = keys[rest], states[rest], (slot[rest] + 1) % len(self.key)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The child of each state for each character; -1 without one."""
+        keys = state.astype(np.int64) << 21 | char
+        slot = self.slots(keys)
+        seen = self.key[slot]
+        out = np.where(seen == keys, self.child[slot], np.int32(-1))
+        open_ = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.key)
+            seen = self.key[slot[open_]]
+            same = seen == keys[open_]
+            out[open_[same]] = self.child[slot[open_[same]]]
+            open_ = open_[~same & (seen >= 0)]
+        return out
+
+    def filtered(self, parts: list[str]) -> tuple[np.ndarray, ...]:
+        """Forward filtering of all parts: last node and length of each part; first arc and weight of each node; weight, length and piece
+        of each arc."""
+        size = np.array([len(p) for p in parts], np.int64)
+        char = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        start = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(parts)), size)
+        place = np.arange(len(char)) - start[owner]  # of a character in its part; a node's place is one more
+        ends, lengths, states = [], [], []
+        live, state = np.arange(len(char)), np.zeros(len(char), np.int32)
+        for d in range(self.longest):
+            inside = place[live] >= d
+            live, state = live[inside], state[inside]
+            state = self.step(state, char[live - d])
+            found = state >= 0
+            live, state = live[found], state[found]
+            if not len(live):
+                break
+            whole = np.flatnonzero(self.piece_at[state] >= 0)
+            ends.append(live[whole])
+            lengths.append(np.full(len(whole), d + 1, np.int32))
+            states.append(state[whole])
+        end, back, state = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ends, lengths, states))
+        piece, weight = self.piece_at[state], self.weight_at[state]
+        alone = np.flatnonzero(np.bincount(end, minlength=len(char)) == 0)
+        end, back = np.concatenate([end, alone]), np.concatenate([back, np.ones(len(alone), np.int32)])
+        piece, weight = np.concatenate([piece, -char[alone] - 1]), np.concatenate([weight, np.full(len(alone), 1e-6)])
+        order = np.argsort(end, kind="stable")
+        end, back, piece, weight = end[order], back[order], piece[order].astype(np.int32), weight[order]
+        node = end + owner[end] + 1
+        first = np.searchsorted(end, np.arange(len(char)))  # of each character's arcs
+        count = np.diff(np.append(first, len(end)))
+        total = np.zeros(len(char) + len(parts))
+        total[start + np.arange(len(parts))] = 1.0
+        first_of = np.zeros(len(total), np.int64)
+        first_of[np.arange(len(char)) + owner + 1] = first
+        first_of[start + np.arange(len(parts))] = first[start]  # no arcs end there: those of the node before stop here
+        short = size[owner] <= self.SHORT
+        by_place = np.argsort(np.where(short, place, 1 << 40), kind="stable")  # characters, those of one place together
+        cuts = np.searchsorted(place[by_place][: int(short.sum())], np.arange(self.SHORT + 1))
+        for j in range(self.SHORT):
+            chars = by_place[cuts[j] : cuts[j + 1]]
+            if not len(chars):
+                break
+            n = count[chars]
+            begin = np.cumsum(n) - n
+            arcs = np.repeat(first[chars] - begin, n) + np.arange(n.sum())
+            weight[arcs] *= total[node[arcs] - back[arcs]]
+            total[chars + owner[chars] + 1] = np.add.reduceat(weight[arcs], begin)
+        for k in np.flatnonzero(size > self.SHORT).tolist():
+            self.filter_long(int(start[k]), int(size[k]), first, count, back, weight, total, int(start[k]) + k)
+        return start + np.arange(len(parts)) + size, size, first_of, total, weight, back, piece
+
+    @staticmethod
+    def filter_long(start: int, size: int, first, count, back, weight, total, base: int) -> None:
+        """The same for one part, in place: weights that later places need are raised together before they vanish."""
+        upto = [1.0]
+        for j in range(size):
+            a = int(first[start + j])
             s = 0.0
-            for i in range(max(0, j - longest), j):
-                if w := get(part[i:j]):
-                    s += total[i] * w[1]
-                    into[j].append((s, i, w[0]))
-            if not s:
-                s = total[j - 1] * 1e-6
-                into[j] = [(s, j - 1, -ord(part[j - 1]) - 1)]
-            total[j] = seen[j] = s
-            if s < 1e-100:
-                for i in range(max(0, j - longest), j + 1):
-                    total[i] *= 1e100
-        return into, seen
+            for k in range(a, a + int(count[start + j])):
+                weight[k] *= upto[j + 1 - back[k]]
+                s += weight[k]
+            upto.append(s)
+            total[base + j + 1] = s
+            if s < 1e-150:
+                for i in range(max(0, j - 32), j + 2):
+                    upto[i] *= 1e150
 
     def parts(self, text: str) -> list[str]:
         """text, with a space before it, cut where no piece can cross; each part without its first space."""
@@ -206,32 +244,36 @@ class Lattice:
         return out
 
     def sample(self, texts: list[str | None], keys: np.ndarray) -> list[np.ndarray]:
-        """Piece ids of each text, drawn with random numbers of its key."""
-        if len(self.number) > REMEMBERED:
-            self.clear()
-        found, owner, get, add = [], [], self.number.get, self.add
+        """Piece ids of each text, drawn backwards with random numbers of its key and the place in the text."""
+        number: dict[str, int] = {}
+        found, owner = [], []
         for t in texts:
             parts = self.parts(t or "")
-            found += [k if (k := get(p)) is not None else add(p) for p in parts]
+            found += [number.setdefault(p, len(number)) for p in parts]
             owner.append(len(parts))
-        first_arc, cum, back, piece = (np.frombuffer(x, t) if len(x) else np.zeros(0, t) for x, t in ((self.first, np.int64), (self.cum, np.float64), (self.back, np.int32), (self.piece, np.int32)))
-        parts_at = np.array(found, np.int64)
-        node, lens = (np.frombuffer(x, np.int64)[parts_at] if found else np.zeros(0, np.int64) for x in (self.end, self.length))
+        if not found:
+            return [np.zeros(0, np.int32)] * len(texts)
+        ends, sizes, first_arc, total, weight, back, piece = self.filtered([p if p[:1] == "\n" else " " + p for p in number])
+        part = np.array(found, np.int64)
+        node, lens = ends[part], sizes[part]
         owner = np.repeat(np.arange(len(texts)), owner)
         first = node - lens
-        at = np.cumsum(lens)  # the position of the node in all texts, in a row
-        sizes = np.bincount(owner, lens, len(texts)).astype(np.int64)
-        offset = at - (np.cumsum(sizes) - sizes)[owner]  # in its own text
-        seed = common.mix64(keys.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))[owner] if len(node) else np.zeros(0, np.uint64)
-        drawn, none = np.zeros(int(sizes.sum()) + 1, np.int32), np.iinfo(np.int32).min
+        at = np.cumsum(lens)  # the place of the node in all texts, in a row
+        spans = np.bincount(owner, lens, len(texts)).astype(np.int64)
+        offset = at - (np.cumsum(spans) - spans)[owner]  # in its own text
+        seed = common.mix64(keys.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))[owner]
+        drawn, none = np.empty(int(spans.sum()) + 1, np.int32), np.iinfo(np.int32).min
         drawn[:] = none
+        last_arc = np.append(first_arc[1:], len(weight)) - 1
         while len(node):
-            u = (common.mix64(seed + offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12)).astype(np.float64) * 2.0**-52
+            left = (common.mix64(seed + offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12)).astype(np.float64) * (total[node] * 2.0**-52)
             arc = first_arc[node]
-            late = np.flatnonzero(cum[arc] <= u)
+            late = np.flatnonzero(left >= weight[arc])
             while len(late):
+                left[late] -= weight[arc[late]]
+                late = late[arc[late] < last_arc[node[late]]]  # rounding must not leave the node
                 arc[late] += 1
-                late = late[cum[arc[late]] <= u[late]]
+                late = late[left[late] >= weight[arc[late]]]
             drawn[at] = piece[arc]
             step = back[arc]
             more = np.flatnonzero(node - step > first)
@@ -240,7 +282,7 @@ class Lattice:
         where = np.flatnonzero(drawn != none)
         what = drawn[where]
         if (odd := np.flatnonzero(what < 0)).size:
-            table = {c: [self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in (-np.unique(what[odd]) - 1).tolist()}
+            table = {c: [self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in (-np.unique(what[odd]).astype(np.int64) - 1).tolist()}
             wide = [table[-w - 1] for w in what[odd].tolist()]
             reps = np.ones(len(what), np.int64)
             reps[odd] = [len(w) for w in wide]
@@ -248,8 +290,8 @@ class Lattice:
             where, what = np.repeat(where, reps), np.repeat(what, reps)
             for a, w in zip(at_odd.tolist(), wide, strict=True):
                 what[a : a + len(w)] = w
-        bounds = np.searchsorted(where, np.cumsum(sizes), "right")
-        return np.split(what.astype(np.int32), bounds[:-1])
+        bounds = np.searchsorted(where, np.cumsum(spans), "right")
+        return np.split(what, bounds[:-1])
 
 
 class Decoder:
@@ -263,7 +305,9 @@ class Decoder:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-_lattices: dict[str, Lattice] = {}
+@functools.cache
+def lattice_of(path: str) -> Lattice:
+    return Lattice(path)
 
 
 def sampled(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -271,8 +315,8 @@ def sampled(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     (whether the pieces decoded to the very text).  The key of a row is its doc_id; a null one counts as -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, decoder = _lattices.setdefault(path, Lattice(path)), Decoder(path)
-        for batch in common.slices(batches, "text"):
+        lattice, decoder = lattice_of(path), Decoder(path)
+        for batch in common.slices(batches, "text", size=SLICE):
             ts = common.texts(batch, "text")
             keys = np.array([-1 if k is None else k for k in batch.column(0).cast(pa.int64()).to_pylist()], np.int64)
             ids = lattice.sample(ts, keys)
