@@ -32,7 +32,7 @@ SPACE = "▁"
 #: Distinct parts that a task remembers; beyond, it forgets all and goes on.
 REMEMBERED = 120_000
 #: Bytes of text whose pieces are drawn at a time.
-SLICE = 4 << 20
+SLICE = 1 << 19
 _UNITS = re.compile(r" +[^ ]*")
 
 
