@@ -28,7 +28,7 @@ from . import common
 #: Log-odds of content, and weights of smoothness edges.
 COSTS = {
     "boilerplate": -7.0, "article": 3.0, "named_content": 1.0, "paragraph": 0.8, "heading": 0.5, "long": 0.8, "sentences": 0.8,
-    "short": -0.7, "linked": -2.5, "some_links": -0.6, "listed_link": -1.0, "rights": -2.0, "outside": -1.5,
+    "short": -0.7, "linked": -2.5, "some_links": -0.6, "listed_link": -1.0, "rights": -2.0, "outside": -3.5,
     "next_sibling": 1.2, "next_cousin": 0.8, "next": 0.4, "parent": 0.5, "up": 0.3, "border": 0.3,
 }
 
@@ -51,7 +51,7 @@ BOILER_TAGS = frozenset("nav footer aside form button fieldset dialog menu heade
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar tablist toolbar".split())
 #: Words of class and id that name boilerplate, and those that name content.
 BOILER_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners nav navbar navigation
+    """ad ads adv adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners nav navbar navigation
     menu menus submenu breadcrumb breadcrumbs pagination pager footer foot colophon header masthead topbar sidebar sidebars aside widget
     widgets related recommended recommendations trending popular cookie cookies consent gdpr notice notices alert alerts popup modal overlay
     newsletter subscribe subscription signup login signin register search form comment comments commentlist disqus reply replies respond
@@ -126,9 +126,7 @@ def blocks(page: str) -> list[Block]:
             if raw.isspace():
                 return
             holder = now
-            while holder.up and holder.tag in INLINE:
-                if holder.boiler and not holder.up.boiler:
-                    break
+            while holder.up and holder.tag in INLINE and holder.boiler == holder.up.boiler:
                 holder = holder.up
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
@@ -161,6 +159,8 @@ def blocks(page: str) -> list[Block]:
             while e.up and e.tag != tag and (block or e.tag in INLINE):
                 e = e.up
             if e.up and e.tag == tag:
+                if e.boiler and not e.up.boiler:
+                    close()
                 now = e.up
         elif tag in VOID:
             if tag == "br" and parts:
@@ -177,7 +177,10 @@ def blocks(page: str) -> list[Block]:
                         e = e.up
                         now = e
             if not m[3].endswith("/") or block:
-                now = Element(tag, now, m[3])
+                inner = Element(tag, now, m[3])
+                if inner.boiler and not now.boiler:  # an advert in a line parts it
+                    close()
+                now = inner
     close()
     return found
 
