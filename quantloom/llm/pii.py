@@ -34,17 +34,20 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_FOR = {
-    "email": re.compile(r"\b(?:mail|e-mail|contact|write)\b", re.I),
-    "ip": re.compile(r"\b(?:ip|host|server|address|login)\b", re.I),
-    "card": re.compile(r"\b(?:card|visa|credit|debit|payment|amex)\b", re.I),
-    "phone": re.compile(r"\b(?:phone|tel|call|mobile|fax)\b", re.I),
-    "iban": re.compile(r"\b(?:iban|bank|account|transfer|bic)\b", re.I),
-    "national": re.compile(r"\b(?:ssn|social security|national id|passport|tax)\b", re.I),
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
+_NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+#: Words that raise a kind's score, and words that lower any; ASCII word bounds, either case.
+WORDS = {
+    "email": "mail|e-mail|contact|write",
+    "ip": "ip|host|server|address|login",
+    "card": "card|visa|credit|debit|payment|amex",
+    "phone": "phone|tel|call|mobile|fax",
+    "iban": "iban|bank|account|transfer|bic",
+    "national": "ssn|social security|national id|passport|tax",
 }
-_AGAINST = re.compile(r"\b(?:version|isbn|order|part no|serial|example)\b", re.I)
+AGAINST = "version|isbn|order|part no|serial|example"
+_FOR = {k: re.compile(rf"\b(?:{w})\b", re.I | re.A) for k, w in WORDS.items()}
+_AGAINST = re.compile(rf"\b(?:{AGAINST})\b", re.I | re.A)
 _DIGIT = re.compile("[0-9]")
 
 

@@ -76,7 +76,54 @@ QUERIES = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _spans_sql() -> str:
+    """Operator 5: each kind's matches with their places (the lengths of what lies between and before them), checks, context scores."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+        "national": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: (CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT) * (2 - i % 2) + 9) % 9 + CASE WHEN substr({digits}, length({digits}) - i + 1, 1) = '9' AND i % 2 = 0 THEN 9 WHEN substr({digits}, length({digits}) - i + 1, 1) = '9' THEN 9 ELSE 0 END)) % 10 = 0"
+    code = "replace(m, ' ', '')"
+    turned = f"(substr({code}, 5) || substr({code}, 1, 4))"
+    value = "CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END"
+    mod97 = f"list_reduce(list_transform(range(1, length({turned}) + 1), lambda i: substr({turned}, i, 1)).list_transform(lambda c: {value}), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97, 0) = 1"
+    checks = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0",
+        "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": f"length({code}) BETWEEN 15 AND 34 AND {mod97}",
+        "national": "true",
+    }
+    parts = []
+    for i, (kind, p) in enumerate(patterns.items()):
+        parts.append(
+            f"""SELECT doc_id, t, '{kind}' AS kind, {i} AS k, a, a + length(m) AS b, {pii.PRIOR[kind][1]}e0 AS prior, '(?i)\\b(?:{pii.WORDS[kind]})\\b' AS words
+FROM (SELECT doc_id, t, ms[i] AS m, CAST(list_sum(list_transform(gs[1 : i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda g: length(g))), 0) AS BIGINT) AS a
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS gs FROM d)))
+WHERE {checks[kind]}"""
+        )
+    found = "\nUNION ALL ".join(parts)
+    near = f"(substr(t, greatest(a - {pii.NEAR}, 0) + 1, least(a, {pii.NEAR})) || ' ' || substr(t, b + 1, {pii.NEAR}))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+scored AS (SELECT *, round(least(1, greatest(0, prior + CASE WHEN regexp_matches({near}, words) THEN {pii.STEP}e0 ELSE 0 END - CASE WHEN regexp_matches({near}, '(?i)\\b(?:{pii.AGAINST})\\b') THEN {pii.STEP}e0 ELSE 0 END)), 3) AS score FROM found),
+kept AS (SELECT *, kind || ':' || a || ':' || b AS span FROM scored WHERE k < 4 OR score >= {pii.THRESHOLD}e0),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS e, count(*) FILTER (WHERE k = 1) AS i, count(*) FILTER (WHERE k = 2) AS c, count(*) FILTER (WHERE k = 3) AS p,
+  string_agg(span, ',' ORDER BY a, k) FILTER (WHERE k < 4) AS base, string_agg(span, ',' ORDER BY a, k) AS spans, string_agg(printf('%g', score), ',' ORDER BY a, k) AS scores FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+
 ORACLES = {
+    "op5_personal_data": _spans_sql(),
     "op4_decontamination": rf"""
 WITH iw AS (
   SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
