@@ -51,10 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; what each returns is written to the shared folder and read again."""
-    docs = common.read(spark, sf_dir, "documents")
+    """All stages on documents; what each returns is written to the shared folder and read again, what it read is deleted there."""
+    docs, before = common.read(spark, sf_dir, "documents"), None
+    top = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        path = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path := f"{top}/{name}")
         docs = spark.read.parquet(path)
+        if before:
+            common.delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -48,6 +48,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder of any file system, with all that is in it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that does not clash with those taken, whatever their case."""
     low = {t.lower() for t in taken}

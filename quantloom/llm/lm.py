@@ -5,10 +5,11 @@ ends).  Each place has a table of hidden vectors; their sum goes through tanh an
 the sum of the log-probabilities of its tokens.
 
 Statistics: every window of every document is counted (context and token, packed into one integer), pre-aggregated in each task and
-summed by a shuffle over all documents; that table grows with the corpus.  Training: the table is dealt into shards by hash; each
-shard takes Adam steps in numpy over all its windows, each weighted by its count, from the common parameters; the shards' parameters
-are averaged by their counts, and so on for ROUNDS.  Only parameters come to the driver, of SHARDS shards at most.  Scoring: the
-distinct windows of a batch go through the network once, and each token takes its window's value.
+summed by a shuffle over all documents; that table grows with the corpus.  Training: the table is dealt by hash into shards of about
+SHARD_ROWS windows (SHARDS of them at least); each shard takes Adam steps in numpy over all its windows, each weighted by its count,
+from the common parameters; the shards' parameters are averaged by their counts, and so on for ROUNDS.  Averages of MERGED groups of
+shards are made by tasks, so no more than MERGED parameter vectors come to the driver.  Scoring: the distinct windows of a batch go
+through the network once, and each token takes its window's value.
 
 Defined results: a null or empty text has no tokens, sum 0 and a null mean; texts of any length are scored whole; repeated rows are
 counted each and get equal scores; an empty table trains nothing and gives an empty result; other columns are left out.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 RADIUS, HIDDEN, PAD = 2, 32, 0
-SHARDS, ROUNDS, RATE = 12, 6, 0.02
+SHARDS, SHARD_ROWS, MERGED, ROUNDS, RATE = 12, 2_000_000, 16, 6, 0.02
 #: Distinct windows that a task gathers before it merges equal ones.
 GATHERED = 2_000_000
 #: Bytes of text that are taken at a time.
@@ -159,11 +160,16 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
 def fit(docs: DataFrame, text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> Network:
     """The network that the windows of all documents train."""
     spark = docs.sparkSession
-    table = common.settled(counted(docs, text).repartition(shards, "win"))
+    table = common.settled(counted(docs, text))
+    shards = max(shards, table.count() // SHARD_ROWS + 1)
+    table = common.settled(table.repartition(shards, "win"))
     net = Network()
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(net.flat())
-        rows = common.mapped(table, _trainer(sent, turn), "flat binary, weight double").collect()  # one row for each shard
+        trained = common.mapped(table, _trainer(sent, turn), "flat binary, weight double")  # a row for each shard
+        if shards > MERGED:
+            trained = common.mapped(trained.repartition(MERGED), _merge, "flat binary, weight double")
+        rows = trained.collect()
         if not rows:
             break
         weights = np.array([r["weight"] for r in rows])
@@ -172,6 +178,17 @@ def fit(docs: DataFrame, text: str = "text", shards: int = SHARDS, rounds: int =
     return net
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all rows of a task: the average by weight."""
+    total, weight = None, 0.0
+    for batch in batches:
+        for flat, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(flat, np.float32).astype(np.float64) * w
+            total, weight = part if total is None else total + part, weight + w
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()), pa.array([weight])], ["flat", "weight"])
+
+
 def _trainer(sent, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]

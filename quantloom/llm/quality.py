@@ -185,10 +185,11 @@ def measured(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame
 def fit(docs: DataFrame, labels: DataFrame, fold: "F.Column | None" = None, rows: int = FIT_ROWS) -> Additive | None:
     """A model of labels.quality from rows of both tables that meet by doc_id and pass fold; None without any.
 
-    The labels that are used are at most `rows` in expectation, so they are sent to the documents' tasks, not the texts to theirs."""
+    The labels that are used are about `rows`, twice that at most (an id of very many labels must not undo the bound), so they are sent to
+    the documents' tasks, not the texts to theirs."""
     known = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null")
     known = known if fold is None else known.where(fold)
-    sample = common.bounded_sample(known, "doc_id", rows, known.count())
+    sample = common.bounded_sample(known, "doc_id", rows, known.count()).limit(2 * rows)
     met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     found = measured(met, ["doc_id", "quality"]).limit(2 * rows).toPandas().sort_values(["doc_id", "quality"])
     if not len(found):
