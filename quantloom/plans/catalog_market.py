@@ -16,7 +16,7 @@ PPY = 8760.0
 # SQL building blocks, each after the ones that it reads.
 K = """ev AS (SELECT event_type AS symbol, CASE WHEN user_id % 2 = 0 THEN 'spot' ELSE 'perp_usdt' END AS market, date_trunc('hour', ts) AS open_time, ts, event_id, value, value + 10000 AS price FROM events),
 k AS (SELECT symbol, market, open_time, arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, event_id)) AS close, sum(value) AS volume, sum(price) AS quote_volume, count(*) AS trades, open_time + INTERVAL 1 hour - INTERVAL 1 millisecond AS close_time, TIMESTAMP '2024-02-01' AS ingested_at FROM ev GROUP BY symbol, market, open_time)"""
-FU = """f AS (SELECT event_type AS symbol, make_timestamp((epoch_us(ts) // 28800000000) * 28800000000) AS funding_time, round((avg(value) - 50) / 1e5, 8) AS funding_rate FROM events GROUP BY 1, 2)"""
+FU = """f AS (SELECT event_type AS symbol, make_timestamp((epoch_us(ts) // 28800000000) * 28800000000) AS funding_time, round((avg(value) - 50) / 1e5, 12) AS funding_rate FROM events GROUP BY 1, 2)"""
 B = f"""{K}, {FU},
 b0 AS (SELECT symbol, open_time, max(close) FILTER (WHERE market = 'spot') AS spot_close, max(close) FILTER (WHERE market = 'perp_usdt') AS perp_close FROM k GROUP BY symbol, open_time),
 b AS (SELECT b0.symbol, b0.open_time, spot_close, perp_close, funding_rate, coalesce(spot_close / lag(spot_close) OVER w - 1, 0) AS spot_ret, coalesce(perp_close / lag(perp_close) OVER w - 1, 0) AS perp_ret

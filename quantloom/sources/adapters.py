@@ -42,7 +42,7 @@ def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, funding_time, funding_rate: one settlement every 8 hours."""
     bucket = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / (8 * HOUR)) * (8 * HOUR))
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), bucket.alias("funding_time"), "value")
-    return e.groupBy("symbol", "funding_time").agg(F.round((F.avg("value") - 50) / 1e5, 8).alias("funding_rate"))
+    return e.groupBy("symbol", "funding_time").agg(F.round((F.avg("value") - 50) / 1e5, 12).alias("funding_rate"))
 
 
 def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
