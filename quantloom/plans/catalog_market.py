@@ -134,9 +134,9 @@ def _(s, d):
     return ratcheted(s, d).groupBy("symbol").agg(F.round(F.avg((F.col("regime_state") > 0).cast("int")), 9).alias("active_fraction"))
 
 
-@query("legs", f"WITH {L} SELECT symbol, {T.format('time')} AS time, CAST(leg_id AS BIGINT) AS leg_id, market, side, weight, notional, round(leg_ret, 10) AS leg_ret, round(funding_paid, 9) AS funding_paid FROM l")
+@query("legs", f"WITH {L} SELECT symbol, {T.format('time')} AS time, CAST(leg_id AS BIGINT) AS leg_id, market, side, weight, notional, round(leg_ret, 10) AS leg_ret, round(funding_paid, 12) AS funding_paid FROM l")
 def _(s, d):
-    return shown(carry.legs(states(s, d)), "symbol time:t leg_id:l market side weight notional leg_ret:10 funding_paid:9")
+    return shown(carry.legs(states(s, d)), "symbol time:t leg_id:l market side weight notional leg_ret:10 funding_paid:12")
 
 
 @query("costs", f"WITH {C} SELECT symbol, {T.format('time')} AS time, CAST(leg_id AS BIGINT) AS leg_id, round(fees, 9) AS fees, round(slippage, 9) AS slippage FROM c")
