@@ -185,10 +185,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_share:
     """docs without contamination: hit spans leave the texts; documents with more than max_share of their words hit go.
 
     All columns of docs stay; where a text changes and there is an integer column n_chars, it is counted anew."""
-    out = docs
-    for block in blocks(benchmark, limit=limit):
-        out = common.mapped(out, _cleaner(docs.sparkSession.sparkContext.broadcast(WindowSet(block, window)), text, max_share), docs.schema)
-    return out
+    sent = [docs.sparkSession.sparkContext.broadcast(WindowSet(b, window)) for b in blocks(benchmark, limit=limit)]
+    if len(sent) == 1:
+        return common.mapped(docs, _cleaner(sent[0], text, max_share), docs.schema)
+    # Every block scans the text as it was; the hits of all meet at the row, which is cut and judged once.
+    row, hit = common.fresh("row", docs.columns), common.fresh("hit", docs.columns)
+    rows = common.settled(docs.withColumn(row, F.monotonically_increasing_id()))
+    source = rows.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(row).alias("row"))
+    spans = None
+    for windows in sent:
+        part = common.mapped(source, _spans(windows), "row long, doc_id long, n_words long, hit array<long>, items array<string>").where(F.size("hit") > 0).select("row", "hit")
+        spans = part if spans is None else spans.unionByName(part)
+    united = spans.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias(hit))
+    met = rows.join(united, row, "left").select(*docs.columns, hit)
+    return common.mapped(met, _cutter(text, max_share), docs.schema)
 
 
 def replaced(batch: pa.RecordBatch, text: str, new: list[str | None]) -> pa.RecordBatch:
@@ -201,15 +211,34 @@ def replaced(batch: pa.RecordBatch, text: str, new: list[str | None]) -> pa.Reco
     return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
 
+def _kept(batch: pa.RecordBatch, text: str, counts: list[int], hit: list[np.ndarray], max_share: float) -> pa.RecordBatch:
+    """batch with its hit words cut, less the rows of which too many are hit.  counts: the words of each row."""
+    new = [cut(t, at) if len(at) else t for t, at in zip(common.texts(batch, text), hit, strict=True)]
+    keep = pa.array([len(at) <= max_share * n for n, at in zip(counts, hit, strict=True)])
+    return replaced(batch, text, new).filter(keep)
+
+
 def _cleaner(sent, text: str, max_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text):
-            found, old = list(scanned(batch, text, sent.value)), common.texts(batch, text)
-            if not any(len(at) for _, at, _ in found):
-                yield batch
-                continue
-            new = [cut(t, at) if len(at) else t for t, (_, at, _) in zip(old, found, strict=True)]
-            keep = pa.array([len(at) <= max_share * n for n, at, _ in found])
-            yield replaced(batch, text, new).filter(keep)
+            found = list(scanned(batch, text, sent.value))
+            if any(len(at) for _, at, _ in found):
+                batch = _kept(batch, text, [n for n, _, _ in found], [at for _, at, _ in found], max_share)
+            yield batch
+
+    return run
+
+
+def _cutter(text: str, max_share: float):
+    """The last column holds the numbers of the hit words, in order, or null; it is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, text):
+            hit = [np.array(at or [], np.int64) for at in batch.column(batch.num_columns - 1).to_pylist()]
+            batch = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+            if any(len(at) for at in hit):
+                counts = [len(words_of(t)) if len(at) else 0 for t, at in zip(common.texts(batch, text), hit, strict=True)]
+                batch = _kept(batch, text, counts, hit, max_share)
+            yield batch
 
     return run

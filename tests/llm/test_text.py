@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,22 @@ def test_clean_cuts_and_drops(spark, docs_of):
     assert (out[2]["text"], out[3]["text"], out[4]["text"]) == ("clean text", None, "")
 
 
+def test_clean_of_many_blocks_is_that_of_one(spark, leaks, docs_of):
+    """A short item inside a long one, passages side by side, and a share that no block reaches alone."""
+    words = [f"v{i}" for i in range(60)]
+    long, short = " ".join(words[:20]), " ".join(words[8:11])
+    left, right = " ".join(words[20:32]), " ".join(words[30:42])
+    items = [(1, long), (2, short), (3, left), (4, right)] + leaks[1]
+    rest = lambda n: " ".join(f"z{i}" for i in range(n))
+    texts = [f"{rest(30)} {long} {rest(9)}", f"{rest(30)} {' '.join(words[20:42])} end", f"{long} {rest(16)} {left}", *(t for _, t in leaks[0])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = Counter(tuple(r) for r in decontaminate.clean(docs_of(texts), bench).collect())
+    many = decontaminate.clean(docs_of(texts), bench, limit=300)
+    assert many.columns == docs_of([]).columns and Counter(tuple(r) for r in many.collect()) == one
+    kept = {r[0]: r[1] for r in one}
+    assert kept[0] == f"{rest(30)}  {rest(9)}" and kept[1] == f"{rest(30)}  end" and 2 not in kept
+
+
 # --- personal data --------------------------------------------------------------------------------------------------------------------------
 
 PATTERNS = {
