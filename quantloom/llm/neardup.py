@@ -3,7 +3,7 @@
 1. Each text becomes its set of distinct 5-word shingles, a digest of that set and a signature of COORDS minima.  Equal sets are one
    node from here on, however many rows share it, so copies never meet each other.
 2. Nodes are posted under each coordinate-value pair; pairs that only one node has cannot collide and fall away.
-3. Prefix: two nodes that agree in MATCHES coordinates must share one among the COORDS - MATCHES + 1 rarest of either, so only those
+3. Prefix: two nodes that agree in m coordinates must share one among the COORDS - m + 1 rarest of either, so only those
    are posted; frequent values, such as those of passages that many documents quote, are rarely among them.
 4. Skip merging: a posting list is not expanded into its pairs.  First each list compares its nodes with a hub, the one that has most in common with all; links found
    join nodes into components, and only pairs that lie in different components are still open.  If these outnumber what the postings
@@ -11,9 +11,10 @@
    exact threshold asks for, which parts texts that are only half alike; then, as long as it is needed, each list compares one more
    hub, taken outside its largest component.  At last the open pairs themselves are compared, those outside the largest component of
    a list with all others.  No open pair is left out, none inside a component is needed.
-5. A compared pair first counts its matching coordinates; those with MATCHES or more are confirmed on the full shingle sets.
+5. A compared pair first counts its matching coordinates; those with m or more are confirmed on the full shingle sets.
 
-With COORDS = 32 and MATCHES = 17, a pair at similarity 0.85 is missed with a probability of about 2e-6, closer ones with less.
+m follows from the percentage that links (matches): with COORDS = 32 it is 17 at 85 % and 14 at 80 %, where a pair at just that
+similarity is missed with a probability of 3.5e-6 and 1.2e-6, closer ones with less.
 
 Defined results: null, empty and word-free texts have an empty set and are linked with nothing; fewer than 5 words are one shingle;
 repeated rows and repeated ids belong to the component of their text; a null doc_id takes part in links, never names a component
@@ -23,6 +24,7 @@ repeated rows and repeated ids belong to the component of their text; a null doc
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,11 @@ from pyspark.sql import types as T
 
 from . import common
 
-SHINGLE, COORDS, MATCHES = 5, 32, 17
-#: Link where 100 * intersection >= PERCENT * union.
+SHINGLE, COORDS = 5, 32
+#: Link where 100 * intersection >= percent * union, by default.
 PERCENT = 85
+#: Largest probability with which a pair at just the percentage may agree in too few coordinates.
+MISSED = 4e-6
 #: Open pairs, per posting, that are compared at once rather than by one more hub in each list.
 OPEN_PER_POSTING, HUB_ROUNDS = 2, 3
 #: Rows of links or postings for each partition, where a step makes far fewer rows than it has partitions.
@@ -134,6 +138,16 @@ def sent(df: DataFrame, row_bytes: int, limit: int = common.BROADCAST_BYTES) ->
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def matches(percent: int) -> int:
+    """Of COORDS coordinates, how many must agree: as many as miss a pair at just percent with a probability of MISSED at most."""
+    p, missed = percent / 100, 0.0
+    for m in range(COORDS + 1):
+        missed += math.comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)
+        if missed > MISSED:
+            return max(m, 1)
+    return COORDS
+
+
 def _weight() -> "F.Column":
     """How much a node has in common with others: the member of a group that the others vary has most."""
     return F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s + k["df"]).alias("weight")
@@ -144,7 +158,7 @@ def _hubs(posted: DataFrame) -> DataFrame:
     return posted.groupBy("key").agg(F.max(F.struct("weight", "nid"))["nid"].alias("nid"))
 
 
-def postings(nodes: DataFrame) -> DataFrame:
+def postings(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """key, nid, weight, n: each node under those of its coordinate-value pairs that are in its prefix and that another node has too."""
     each = nodes.select("nid", F.posexplode("sig").alias("coord", "value"))
     each = each.select("nid", (F.col("coord").cast("long") * (1 << 32) + F.col("value").cast("long").bitwiseAND((1 << 32) - 1)).alias("key"))
@@ -152,36 +166,36 @@ def postings(nodes: DataFrame) -> DataFrame:
     held = each.join(sent(shared, 32), "key")
     # Rarest first; a node's values that no other has come before all of them.  A node holds at most COORDS.
     ranked = held.groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
-    room = F.size("keys") - (MATCHES - 1)
+    room = F.size("keys") - (matches(percent) - 1)
     prefix = ranked.where(room > 0).select("nid", _weight(), F.explode(F.slice("keys", F.lit(1), room)).alias("k")).select("nid", "weight", F.col("k.key").alias("key"))
     posted = prefix.join(nodes.select("nid", F.col("n_shingles").alias("n")), "nid")
     # Lists that hold one node, as the others have the value outside their prefix, have nothing to compare.
     return posted
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: each pair of left and right that shares a key and can be similar enough by size; once."""
     x = left.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(n) for c, n in (("comp", "ca"), ("rest", "xa")) if c in left.columns])
     y = right.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(n) for c, n in (("comp", "cb"), ("rest", "xb")) if c in right.columns])
-    met = x.join(y, "key").where(f"a <> b and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    met = x.join(y, "key").where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
     if "comp" in left.columns and "comp" in right.columns:
         met = met.where("ca <> cb")
     if "rest" in left.columns:
-        met = met.where(f"100 * least(xa, xb) >= {PERCENT} * (na + nb - least(xa, xb))")
+        met = met.where(f"100 * least(xa, xb) >= {percent} * (na + nb - least(xa, xb))")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that agree in enough coordinates and whose full sets are similar enough."""
     signs = sent(signs, 64 + 4 * COORDS)
     x = pairs.join(signs.select(F.col("nid").alias("a"), F.col("sig").alias("sa")), "a").join(signs.select(F.col("nid").alias("b"), F.col("sig").alias("sb")), "b")
     same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    likely = common.settled(x.where(same >= MATCHES).select("a", "b"))
+    likely = common.settled(x.where(same >= matches(percent)).select("a", "b"))
     inside = sets.join(sent(likely.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), 32), "nid", "left_semi")
     x = likely.join(inside.select(F.col("nid").alias("a"), F.col("shingles").alias("xa")), "a")
     x = x.join(inside.select(F.col("nid").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb")).cast("long")
-    return x.withColumn("both", both).where(f"100 * both >= {PERCENT} * (size(xa) + size(xb) - both)").select("a", "b")
+    return x.withColumn("both", both).where(f"100 * both >= {percent} * (size(xa) + size(xb) - both)").select("a", "b")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -218,9 +232,9 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
     return common.settled(nodes.withColumn("nid", F.monotonically_increasing_id()))
 
 
-def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """nid, comp of the nodes that have links with other nodes."""
-    posted = common.settled(postings(nodes))
+    posted = common.settled(postings(nodes, percent))
     total = posted.count()
     posted = posted.coalesce(total // EDGES + 1)
     inside = posted.select("nid").distinct()
@@ -233,7 +247,7 @@ def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str = "do
     if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["nid"])  # ids of several rows
     sets = common.settled(sets)
-    links = common.settled(_confirmed(_pairs(posted.join(_hubs(posted), ["key", "nid"]), posted), signs, sets))
+    links = common.settled(_confirmed(_pairs(posted.join(_hubs(posted), ["key", "nid"]), posted, percent), signs, sets, percent))
     comp, refined, last, turns = common.settled(components(links)), False, False, 0
     while not last:
         now = posted.join(sent(comp, 48), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
@@ -246,13 +260,13 @@ def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str = "do
         last = left <= OPEN_PER_POSTING * total or turns == HUB_ROUNDS
         open_lists = now.join(sent(main.select("key"), 32), "key", "left_semi")
         if not last and not refined:
-            posted, refined = common.settled(fine_postings(open_lists.select("nid").distinct(), sets)), True
+            posted, refined = common.settled(fine_postings(open_lists.select("nid").distinct(), sets, percent)), True
             total = posted.count()
             posted = posted.coalesce(total // EDGES + 1)
             continue
         outside = now.join(main.select("key", "main"), "key").where("comp <> main").drop("main")
         hubs = outside if last else outside.join(_hubs(outside), ["key", "nid"])
-        new = common.settled(_confirmed(_pairs(hubs, open_lists), signs, sets))
+        new = common.settled(_confirmed(_pairs(hubs, open_lists, percent), signs, sets, percent))
         if new.limit(1).count():
             links = links.union(new)
             comp = common.settled(components(links))
@@ -260,20 +274,20 @@ def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str = "do
     return comp
 
 
-def fine_postings(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, nid, n, weight, rest: nodes under the rarest of their shingles, n - ceil(n * PERCENT / 100) + 1 of n, of which two similar sets share
+def fine_postings(open_nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key, nid, n, weight, rest: nodes under the rarest of their shingles, n - ceil(n * percent / 100) + 1 of n, of which two similar sets share
     one; rest: how many shingles the node has from this one on in the common order, rarest first."""
     each = sets.join(sent(open_nodes, 32), "nid", "left_semi").select("nid", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(shared, "key").groupBy("nid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
-    least = F.expr(f"cast((n * {PERCENT} + 99) div 100 as int)")
+    least = F.expr(f"cast((n * {percent} + 99) div 100 as int)")
     room = F.size("keys") - least + 1
     posted = ranked.where(room > 0).select("nid", "n", _weight(), (F.col("n") - F.size("keys")).alias("alone"), F.posexplode(F.slice("keys", F.lit(1), room)).alias("nth", "k"))
     posted = common.settled(posted.select(F.col("k.key").alias("key"), "nid", "n", "weight", (F.col("n") - F.col("alone") - F.col("nth")).alias("rest")))
     # Where two sets first meet in the common order, they share no more than what is left of either; a node leaves a list in which no
     # partner is small enough for that.
     small = posted.groupBy("key").agg(F.min("n").alias("low"))
-    return posted.join(small, "key").where(100 * F.col("rest") >= PERCENT * (F.col("n") + F.greatest("low", least) - F.col("rest"))).drop("low")
+    return posted.join(small, "key").where(100 * F.col("rest") >= percent * (F.col("n") + F.greatest("low", least) - F.col("rest"))).drop("low")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,15 +299,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), full], ["nid", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
-    return _grouped(docs, doc_id, text).drop("node")
+    return _grouped(docs, doc_id, text, percent).drop("node")
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     rows = common.settled(digests(docs, doc_id, text))
     nodes = distinct_sets(rows)
-    comp = linked(docs, rows, nodes, doc_id, text)
+    comp = linked(docs, rows, nodes, doc_id, text, percent)
     joined = comp.join(nodes.select("nid", "node", "least"), "nid")
     named = joined.join(joined.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("node", "name")
     names = nodes.select("node", "least").join(sent(named, 96), "node", "left").select("node", F.coalesce("name", "least").alias("name"))
@@ -302,11 +316,11 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return out.select("node", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = common.BROADCAST_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = common.BROADCAST_BYTES, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group: a row whose text is in the component that its doc_id names; of several, one.
 
     Rows with a null doc_id stay: nothing names them.  The ids that go are sent to the documents if they are few, else joined."""
-    found = common.settled(_grouped(docs, doc_id, text))
+    found = common.settled(_grouped(docs, doc_id, text, percent))
     gone = common.settled(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct())
     twice = common.settled(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id))
     if not twice.limit(1).count():

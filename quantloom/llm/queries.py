@@ -58,7 +58,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.grouped(common.read(spark, sf_dir, "documents"))
+    return neardup.grouped(common.read(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES = {

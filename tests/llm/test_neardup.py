@@ -94,6 +94,29 @@ def test_deduplicated_keeps_one_of_each_group(spark, docs_of):
     assert sorted((r["doc_id"], r["text"]) for r in neardup.deduplicated(twice).collect()) == [(1, t), (2, "other words stand here, five")]
 
 
+def test_deduplicated_at_80_percent(spark, docs_of):
+    """Similarities 0.82 and 0.79: copies from 80 % on are the first pair alone, from 85 % on neither."""
+    t = [f"x{i}" for i in range(104)]  # 100 shingles
+    at = lambda n: " ".join(t[: n + 4])
+    docs = docs_of([at(100), at(82), "other words stand here, five", " ".join(f"y{i}" for i in range(104)), " ".join(f"y{i}" for i in range(83))])
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(docs, percent=80).collect()) == [0, 2, 3, 4]
+    assert {r["doc_id"] for r in neardup.grouped(docs, percent=85).where("kept").collect()} == {0, 1, 2, 3, 4}
+    assert (neardup.matches(85), neardup.matches(80)) == (17, 14)
+
+
+def test_families_at_80_percent(spark, monkeypatch):
+    """Against all pairs, with refinement."""
+    monkeypatch.setattr(neardup, "OPEN_PER_POSTING", 0)
+    rng = random.Random(3)
+    rows = list(enumerate(family(rng, [f"w{i}" for i in range(150)], 80, 8)))
+    sets = [shingles(t) for _, t in rows]
+    name = [i for i, _ in rows]
+    for _ in rows:
+        name = [min(name[b] for b in range(len(rows)) if 100 * len(s & sets[b]) >= 80 * len(s | sets[b])) for s in sets]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.grouped(docs, percent=80).collect()} == dict(enumerate(name))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r["nid"]: r["comp"] for r in neardup.components(edges).collect()}
