@@ -18,7 +18,7 @@ similarity is missed with a probability of 3.5e-6 and 1.2e-6, closer ones with l
 
 Defined results: null, empty and word-free texts have an empty set and are linked with nothing; fewer than 5 words are one shingle;
 repeated rows and repeated ids belong to the component of their text; a null doc_id takes part in links, never names a component
-(one of nulls only has a null name and keeps nothing); an empty table gives an empty result; other columns are not looked at.
+(one of nulls only has a null name and keeps nothing; deduplicated leaves one row of it); an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -243,7 +243,12 @@ def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str = "do
     # Full sets, made again from the text, of posted nodes alone.
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     members = posted_nodes.where("least is not null").select(F.col("least").alias("doc_id"), "nid", "node")
-    sets = common.mapped(source.join(sent(members, 96), "doc_id").select("node", "nid", "text"), _sets, "nid long, shingles array<long>")
+    texts = source.join(sent(members, 96), "doc_id").select("node", "nid", "text")
+    lone = posted_nodes.where("least is null").select("node", "nid")
+    if lone.limit(1).count():  # sets of rows without an id alone are found by their digests
+        tagged = common.mapped(source.where("doc_id is null"), _tagged("text", "node"), T.StructType([*source.schema.fields, T.StructField("node", T.BinaryType())]))
+        texts = texts.unionByName(tagged.join(sent(lone, 64), "node").select("node", "nid", "text").dropDuplicates(["nid"]))
+    sets = common.mapped(texts, _sets, "nid long, shingles array<long>")
     if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["nid"])  # ids of several rows
     sets = common.settled(sets)
@@ -301,26 +306,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
-    return _grouped(docs, doc_id, text, percent).drop("node")
+    return _grouped(docs, doc_id, text, percent).drop("node", "first")
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """grouped with node, and first: whether the component counts from this node, which stands for it where no id does."""
     rows = common.settled(digests(docs, doc_id, text))
     nodes = distinct_sets(rows)
     comp = linked(docs, rows, nodes, doc_id, text, percent)
     joined = comp.join(nodes.select("nid", "node", "least"), "nid")
-    named = joined.join(joined.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("node", "name")
-    names = nodes.select("node", "least").join(sent(named, 96), "node", "left").select("node", F.coalesce("name", "least").alias("name"))
+    named = joined.join(joined.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("node", "name", (F.col("nid") == F.col("comp")).alias("first"))
+    names = nodes.select("node", "least").join(sent(named, 96), "node", "left").select("node", F.coalesce("name", "least").alias("name"), F.coalesce("first", F.lit(True)).alias("first"))
     out = rows.select("doc_id", "n_shingles", "node").join(names, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("name"))
-    return out.select("node", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("node", "first", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = common.BROADCAST_BYTES, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group: a row whose text is in the component that its doc_id names; of several, one.
 
-    Rows with a null doc_id stay: nothing names them.  The ids that go are sent to the documents if they are few, else joined."""
+    Rows with a null doc_id go where an id names their component; of a component of such rows only, one stays, and those with an
+    empty set stay.  The ids that go are sent to the documents if they are few, else joined."""
     found = common.settled(_grouped(docs, doc_id, text, percent))
+    if not found.where("doc_id is null").limit(1).count():
+        return _with_ids(docs, found, doc_id, text, limit)
+    node = common.fresh("node", docs.columns)
+    lone = common.mapped(docs.where(F.col(doc_id).isNull()), _tagged(text, node), T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())]))
+    stays = common.settled(found.where("doc_id is null and component_id is null and first").select(F.col("node").alias(node)).distinct())
+    one = lone.join(sent(stays, 48, limit), node, "left_semi").groupBy(node).agg(F.min_by(F.struct(*docs.columns), F.coalesce(text, F.lit(""))).alias("one")).select("one.*")
+    empty = lone.where(F.octet_length(node) == 0).select(*docs.columns)
+    return _with_ids(docs.where(F.col(doc_id).isNotNull()), found, doc_id, text, limit).select(*docs.columns).unionByName(one).unionByName(empty)
+
+
+def _with_ids(docs: DataFrame, found: DataFrame, doc_id: str, text: str, limit: int) -> DataFrame:
+    """deduplicated for the rows that have an id."""
     gone = common.settled(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct())
     twice = common.settled(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id))
     if not twice.limit(1).count():

@@ -83,6 +83,23 @@ def test_repeated_ids_and_null_ids(spark):
     check(spark, rows)
 
 
+def test_near_copies_without_ids(spark, docs_of):
+    """A text that only rows without an id have is confirmed too: it is linked, and it links others; deduplication leaves one."""
+    t = " ".join(f"x{i}" for i in range(50))
+    a, n, b = (" ".join(f"y{i}" for i in range(k, k + 90)) for k in (0, 5, 10))
+    u = " ".join(f"z{i}" for i in range(60))
+    rows = [(1, t), (None, t + " x"), (None, t + " x"), (7, a), (None, n), (8, b), (None, u), (None, u + " x"), (None, u.upper()), (None, ""), (None, None)]
+    check(spark, rows)
+    docs = docs_of([t for _, t in rows], [i for i, _ in rows])
+    for limit in (0, 1 << 20):
+        out = neardup.deduplicated(docs, limit=limit)
+        assert out.columns == docs.columns
+        left = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert sorted(i for i, _ in left if i is not None) == [1, 7]
+        lone = [x for i, x in left if i is None]
+        assert len(lone) == 3 and {None, ""} < set(lone) and any(x and x.lower().startswith(u) for x in lone)
+
+
 def test_deduplicated_keeps_one_of_each_group(spark, docs_of):
     t = " ".join(f"x{i}" for i in range(80))
     docs = docs_of([t, t, t + " more", "something else entirely, five words", None, ""], [3, 1, 2, 4, 6, 5])
