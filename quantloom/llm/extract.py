@@ -32,15 +32,21 @@ COSTS = {
     "next_sibling": 1.2, "next_cousin": 0.8, "next": 0.4, "parent": 0.5, "up": 0.3, "border": 0.3,
 }
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}'|["'])*?)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _RIGHTS = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bcookies?\b|\bsubscribe\b|\bsign up\b", re.I)
 _END = re.compile(r"[.!?;:,。！？][\"'”»)]?(?:\s|$)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video title textarea select datalist noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript iframe title textarea noembed noframes".split())
+#: Elements whose text is not shown as the page's; where none of the kind ends next, those of BREAKS end them.
+MUTE = frozenset("template object svg canvas audio video select datalist".split())
+BREAKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure header footer nav aside form".split())
+_SAME = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in MUTE}
+_QUOTE = re.compile("[\"'>]")
+INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded semantics""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening tag of the kind ends first.
 ENDS = {
@@ -62,10 +68,11 @@ CONTENT_WORDS = frozenset("article content post entry story main body text prose
 
 
 class Element:
-    __slots__ = ("tag", "up", "boiler", "article", "named", "node", "link", "listed")
+    __slots__ = ("tag", "up", "boiler", "article", "named", "node", "link", "listed", "mute", "loose")
 
     def __init__(self, tag: str, up: "Element | None", attrs: str) -> None:
-        self.tag, self.up, self.node = tag, up, -1
+        self.tag, self.up, self.node, self.loose = tag, up, -1, False
+        self.mute = up.mute if up else None  # the outermost element around whose text is not shown
         self.boiler, self.article, self.named, self.link, self.listed = (up.boiler, up.article, up.named, up.link, up.listed) if up else (False, False, False, False, False)
         if tag == "a":
             self.link = True
@@ -106,6 +113,30 @@ class Block:
         self.text, self.at, self.linked, self.tag = text, at, linked, at.tag
 
 
+def _ends(page: str):
+    """A function of where a tag's attributes begin: where its > is, outside of quotes; -1 if there is none.  Quotes without a partner are
+    plain.  What led to no end is remembered, so that a page is read in linear time."""
+    dead, none = set(), {}
+
+    def end(at: int) -> int:
+        seen = []
+        while m := _QUOTE.search(page, at):
+            q, i = m[0], m.start()
+            if q == ">":
+                return i
+            if i in dead:
+                break
+            seen.append(i)
+            j = page.find(q, i + 1) if i < none.get(q, len(page)) else -1
+            if j < 0:
+                none[q] = min(i, none.get(q, i))
+            at = max(j, i) + 1
+        dead.update(seen)
+        return -1
+
+    return end
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     top = Element("", None, "")
@@ -122,6 +153,8 @@ def blocks(page: str) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked, holder
+        if now.mute:
+            return
         if not parts:
             if raw.isspace():
                 return
@@ -133,7 +166,7 @@ def blocks(page: str) -> list[Block]:
         if now.link:
             linked += len(text.strip())
 
-    at, size = 0, len(page)
+    at, size, end_of = 0, len(page), _ends(page)
     while at < size:
         m = _TAG.search(page, at)
         if not m:
@@ -145,9 +178,34 @@ def blocks(page: str) -> list[Block]:
         tag = m[2]
         if not tag:
             continue
+        close_at = end_of(at)
+        if close_at < 0 and (close_at := page.find(">", at)) < 0:
+            say(m[0])
+            continue
+        attrs, at = page[at:close_at], close_at + 1
         tag = tag.lower()
+        if now.mute and now.mute.loose and tag in BREAKS and not m[1]:
+            now = now.mute.up
+        if tag in MUTE and not m[1]:
+            if not attrs.endswith("/"):
+                same = _SAME[tag].search(page, at)
+                now = Element(tag, now, "")
+                if not now.mute:
+                    now.mute, now.loose = now, not (same and same[1])
+            continue
+        if now.mute and tag not in RAW:
+            e = now
+            while e is not now.mute.up and e.tag != tag:
+                e = e.up
+            if not m[1]:
+                if tag not in VOID and not attrs.endswith("/"):
+                    now = Element(tag, now, "")
+                continue
+            if e is not now.mute.up:
+                now = e.up
+                continue
         if tag in RAW and not m[1]:
-            if not m[3].endswith("/"):
+            if not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else size
             continue
@@ -176,8 +234,8 @@ def blocks(page: str) -> list[Block]:
                     while e.up and e.tag in ends:
                         e = e.up
                         now = e
-            if not m[3].endswith("/") or block:
-                inner = Element(tag, now, m[3])
+            if not attrs.endswith("/") or block:
+                inner = Element(tag, now, attrs)
                 if inner.boiler and not now.boiler:  # an advert in a line parts it
                     close()
                 now = inner

@@ -174,6 +174,16 @@ def test_articles_of_the_tables(spark):
         assert extract.main_text(r["html"])[0] == " ".join(p for p in parts if p)
 
 
+def test_elements_without_an_end_and_long_attributes():
+    article = "<article><p>The first paragraph stands here, long enough to be read.</p></article>"
+    want = "The first paragraph stands here, long enough to be read."
+    long = "data:image/svg+xml," + "<path>" * 2000
+    for before in ("<video src=a>", "<select><option>A", "<div><canvas></div>", f'<img src="{long}">', "<svg><g><path d='x'/></g></svg>", "<video><p>no</p></video>"):
+        assert extract.main_text(f"<body>{before}{article}</body>")[0] == want, before
+    assert extract.main_text("<article><p>where <math><mi>x</mi></math> is a number <svg><path d=a></svg>and more.</p></article>")[0] == "where x is a number and more."
+    assert extract.main_text("<article><p>a</article>" + "<b title=\"x'>" * 20001 + "<")[0].startswith("a")
+
+
 def test_cut_is_minimal():
     """Against the cost of every labelling of small graphs."""
     rng = random.Random(8)
