@@ -48,6 +48,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of what settled() returned, once nothing reads them any more."""
+    for df in tables:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() == "LogicalRDD" and (path := plan.rdd().getCheckpointFile()).isDefined():
+            delete(df.sparkSession, path.get())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """A folder of any file system, with all that is in it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,13 +5,14 @@
 2. Nodes are posted under each coordinate-value pair; pairs that only one node has cannot collide and fall away.
 3. Prefix: two nodes that agree in m coordinates must share one among the COORDS - m + 1 rarest of either, so only those
    are posted; frequent values, such as those of passages that many documents quote, are rarely among them.
-4. Skip merging: a posting list is not expanded into its pairs.  First each list compares its nodes with a hub, the one that has most in common with all; links found
-   join nodes into components, and only pairs that lie in different components are still open.  If these outnumber what the postings
-   justify, the nodes of open lists are posted anew under the rarest of their shingles themselves, as many as the prefix rule of the
-   exact threshold asks for, which parts texts that are only half alike; then, as long as it is needed, each list compares one more
-   hub, taken outside its largest component.  At last the open pairs themselves are compared, those outside the largest component of
-   a list with all others.  No open pair is left out, none inside a component is needed.
-5. A compared pair first counts its matching coordinates; those with m or more are confirmed on the full shingle sets.
+4. Skip merging: a posting list is never expanded into its pairs.  First each list compares its nodes with a hub, the one that has
+   most in common with all: as many comparisons as postings.  Links found join nodes into components, and pairs inside one are skipped.
+5. What is left open in a list are the pairs of different components without the hub.  For the nodes of such lists it is counted how
+   many of their shingles no other such node has (alone).  The symmetric difference of x and y has at least
+   alone_x + alone_y + |(n_x - alone_x) - (n_y - alone_y)| elements, so a node with too many such shingles leaves its lists, and the
+   rest meet only where this bound allows a link: lists are parted into bands of n - alone, each node outside its list's largest
+   component looks up the bands that it can reach, and a pair is made in the first list that both are in.
+6. A pair first counts its matching coordinates; those with m or more are confirmed on the full shingle sets.
 
 m follows from the percentage that links (matches): with COORDS = 32 it is 17 at 85 % and 14 at 80 %, where a pair at just that
 similarity is missed with a probability of 3.5e-6 and 1.2e-6, closer ones with less.
@@ -40,8 +41,8 @@ SHINGLE, COORDS = 5, 32
 PERCENT = 85
 #: Largest probability with which a pair at just the percentage may agree in too few coordinates.
 MISSED = 4e-6
-#: Open pairs, per posting, that are compared at once rather than by one more hub in each list.
-OPEN_PER_POSTING, HUB_ROUNDS = 2, 3
+#: Ratio of neighbouring bands.
+BAND = 1.02
 #: Rows of links or postings for each partition, where a step makes far fewer rows than it has partitions.
 EDGES = 50_000
 #: Bytes of text that are hashed at a time; each takes some ten times as much memory.
@@ -148,18 +149,9 @@ def matches(percent: int) -> int:
     return COORDS
 
 
-def _weight() -> "F.Column":
-    """How much a node has in common with others: the member of a group that the others vary has most."""
-    return F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s + k["df"]).alias("weight")
-
-
-def _hubs(posted: DataFrame) -> DataFrame:
-    """key, nid: of each list, the node of the greatest weight."""
-    return posted.groupBy("key").agg(F.max(F.struct("weight", "nid"))["nid"].alias("nid"))
-
-
-def postings(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """key, nid, weight, n: each node under those of its coordinate-value pairs that are in its prefix and that another node has too."""
+def prefixes(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """nid, n, weight, keys: of each node those of its coordinate-value pairs that are in its prefix, rarest first, of those that another
+    node has too; weight: how much the node has in common with others, most for the member of a group that the others vary."""
     each = nodes.select("nid", F.posexplode("sig").alias("coord", "value"))
     each = each.select("nid", (F.col("coord").cast("long") * (1 << 32) + F.col("value").cast("long").bitwiseAND((1 << 32) - 1)).alias("key"))
     shared = common.settled(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
@@ -167,48 +159,53 @@ def postings(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Rarest first; a node's values that no other has come before all of them.  A node holds at most COORDS.
     ranked = held.groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
     room = F.size("keys") - (matches(percent) - 1)
-    prefix = ranked.where(room > 0).select("nid", _weight(), F.explode(F.slice("keys", F.lit(1), room)).alias("k")).select("nid", "weight", F.col("k.key").alias("key"))
-    posted = prefix.join(nodes.select("nid", F.col("n_shingles").alias("n")), "nid")
-    # Lists that hold one node, as the others have the value outside their prefix, have nothing to compare.
-    return posted
-
-
-def _pairs(left: DataFrame, right: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: each pair of left and right that shares a key and can be similar enough by size; once."""
-    x = left.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(n) for c, n in (("comp", "ca"), ("rest", "xa")) if c in left.columns])
-    y = right.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(n) for c, n in (("comp", "cb"), ("rest", "xb")) if c in right.columns])
-    met = x.join(y, "key").where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    if "comp" in left.columns and "comp" in right.columns:
-        met = met.where("ca <> cb")
-    if "rest" in left.columns:
-        met = met.where(f"100 * least(xa, xb) >= {percent} * (na + nb - least(xa, xb))")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs that agree in enough coordinates and whose full sets are similar enough."""
+    weight = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s + k["df"])
+    kept = ranked.where(room > 0).select("nid", weight.alias("weight"), F.slice("keys", F.lit(1), room)["key"].alias("keys"))
+    out = common.settled(kept.join(nodes.select("nid", F.col("n_shingles").alias("n")), "nid").select("nid", "n", "weight", "keys"))
+    common.dropped(shared)
+    return out
+
+
+def _alike(na: str, nb: str, percent: int) -> str:
+    """Whether sets of these sizes can be similar enough."""
+    return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})"
+
+
+def hub_lists(posted: DataFrame) -> DataFrame:
+    """key, hub, hub_n, members: of each list of two nodes or more, the node of the greatest weight."""
+    hub = posted.groupBy("key").agg(F.max(F.struct("weight", "nid", "n")).alias("h"), F.count("*").alias("members"))
+    return hub.where("members > 1").select("key", F.col("h.nid").alias("hub"), F.col("h.n").alias("hub_n"), "members")
+
+
+def _likely(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that agree in enough coordinates."""
     signs = sent(signs, 64 + 4 * COORDS)
     x = pairs.join(signs.select(F.col("nid").alias("a"), F.col("sig").alias("sa")), "a").join(signs.select(F.col("nid").alias("b"), F.col("sig").alias("sb")), "b")
     same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    likely = common.settled(x.where(same >= matches(percent)).select("a", "b"))
+    return common.settled(x.where(same >= matches(percent)).select("a", "b"))
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough.  The set of a goes to the place of b: one set travels for each pair."""
     inside = sets.join(sent(likely.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), 32), "nid", "left_semi")
     x = likely.join(inside.select(F.col("nid").alias("a"), F.col("shingles").alias("xa")), "a")
     x = x.join(inside.select(F.col("nid").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb")).cast("long")
-    return x.withColumn("both", both).where(f"100 * both >= {percent} * (size(xa) + size(xb) - both)").select("a", "b")
+    return common.settled(x.withColumn("both", both).where(f"100 * both >= {percent} * (size(xa) + size(xb) - both)").select("a", "b"))
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """nid, comp (the smallest node that it reaches) of every node of edges (a, b): large-star and small-star steps in turn, until
-    each component is a star.  Only counts come to the driver."""
+    each component is a star.  Each pair of steps at least halves the longest distance to a star's middle.  Only counts come to the driver."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = common.settled(edges)
     # Few edges are held in few partitions (one needs no shuffles at all); the steps are the same.
     parts = edges.count() // EDGES + 1
-    for _ in range(most):
-        edges = edges.coalesce(parts)
+    bad = 1
+    while bad:
+        held = edges.coalesce(parts)
         # Large star: the larger neighbours of each node go to its smallest one.
-        both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        both = held.select(F.inline(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: the smaller neighbours of each node, and itself, go to its smallest one.
@@ -218,11 +215,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # Stars: no node is both a larger and a smaller end, and none has two smaller ends.
         odd = new.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
         bad = odd.where("n > 1").limit(1).count() or new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
+        common.dropped(edges)
         edges = new
-        if not bad:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.inline(F.array(F.struct(F.col("a").alias("nid"), F.col("b").alias("comp")), F.struct(F.col("b").alias("nid"), F.col("b").alias("comp"))))).distinct()
 
 
@@ -234,17 +228,64 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """nid, comp of the nodes that have links with other nodes."""
-    posted = common.settled(postings(nodes, percent))
-    total = posted.count()
-    posted = posted.coalesce(total // EDGES + 1)
-    inside = posted.select("nid").distinct()
-    posted_nodes = common.settled(nodes.join(inside, "nid", "left_semi").select("nid", "node", "least", "sig"))
-    signs = posted_nodes.select("nid", "sig")
-    # Full sets, made again from the text, of posted nodes alone.
+    prefix = prefixes(nodes, percent)
+    # Few postings are held in few partitions.
+    posted = prefix.select("nid", "n", "weight", F.explode("keys").alias("key")).coalesce(prefix.agg(F.sum(F.size("keys"))).first()[0] // EDGES + 1 if prefix.limit(1).count() else 1)
+    lists = common.settled(hub_lists(posted))
+    signs = nodes.select("nid", "sig").join(sent(prefix.select("nid"), 32), "nid", "left_semi")
+    met = posted.join(lists, "key").where("nid <> hub and " + _alike("n", "hub_n", percent))
+    likely = _likely(met.select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct(), signs, percent)
+    # What needs full sets: those pairs, and the nodes of lists in which a pair without the hub exists.
+    wide = posted.join(lists.where("members > 2").select("key"), "key", "left_semi").select("nid")
+    needed = common.settled(likely.select(F.explode(F.array("a", "b")).alias("nid")).union(wide).distinct())
+    sets = full_sets(docs, rows, nodes.join(sent(needed, 32), "nid", "left_semi"), doc_id, text)
+    links = _confirmed(likely, sets, percent)
+    comp = common.settled(components(links))
+    pairs = open_pairs(posted, prefix, lists, comp, sets, percent)
+    more = _confirmed(_likely(pairs, signs, percent), sets, percent)
+    if more.limit(1).count():
+        comp = common.settled(components(links.union(more)))
+    common.dropped(prefix, lists, likely, needed, sets, links, pairs, more)
+    return comp
+
+
+def open_pairs(posted: DataFrame, prefix: DataFrame, lists: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs that share a list, are in different components, do not hold the list's hub, and can be similar enough by the
+    sizes of their sets and by the shingles that no other node of such lists has; once each."""
+    comp = sent(comp, 48)
+    now = posted.join(lists.where("members > 2").select("key", "hub"), "key").where("nid <> hub").select("key", "nid")
+    now = now.join(comp, "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp"))
+    open_keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    now = common.settled(now.join(sent(open_keys, 32), "key", "left_semi"))
+    each = sets.join(sent(now.select("nid").distinct(), 32), "nid", "left_semi").select("nid", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("nid").alias("nid")).where("df = 1").groupBy("nid").agg(F.count("*").alias("alone"))
+    bound = prefix.select("nid", "n", "keys").join(now.select("nid").distinct(), "nid", "left_semi").join(alone, "nid", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long")))
+    bound = common.settled(bound.where(f"100 * alone <= {100 - percent} * n"))
+    held = now.join(sent(bound, 64 + 8 * COORDS), "nid").withColumn("common", F.col("n") - F.col("alone"))
+    sizes = held.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
+    held = held.join(sent(sizes.where("comps > 1").select("key", "main"), 48), "key").withColumn("out", F.col("comp") != F.col("main")).drop("main")
+    band = lambda c: F.floor(F.log(c) / math.log(BAND))  # noqa: E731  c >= 1: alone is less than n
+    reach = F.expr(f"{100 - percent} * n / {percent} - alone")
+    low, high = F.greatest(F.col("common") - reach, F.lit(1.0)), F.col("common") + reach
+    x = held.where("out").withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    y = held.withColumn("band", band(F.col("common").cast("double")))
+    x = x.select("key", "band", *[F.col(c).alias(f"{c}_a") for c in ("nid", "n", "alone", "common", "comp", "keys")])
+    y = y.select("key", "band", *[F.col(c).alias(f"{c}_b") for c in ("nid", "n", "alone", "common", "comp", "keys", "out")])
+    fits = f"comp_a <> comp_b and (not out_b or nid_a < nid_b) and {_alike('n_a', 'n_b', percent)} and {100 + percent} * (alone_a + alone_b + abs(common_a - common_b)) <= {100 - percent} * (n_a + n_b)"
+    first = F.element_at(F.array_intersect("keys_a", "keys_b"), 1)
+    met = x.join(y, (x["key"] == y["key"]) & (x["band"] == y["band"]) & F.expr(fits) & (first == x["key"]))
+    out = common.settled(met.select(F.least("nid_a", "nid_b").alias("a"), F.greatest("nid_a", "nid_b").alias("b")))
+    common.dropped(now, bound)
+    return out
+
+
+def full_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """nid, shingles of nodes, made again from their texts."""
+    nodes = common.settled(nodes.select("nid", "node", "least"))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    members = posted_nodes.where("least is not null").select(F.col("least").alias("doc_id"), "nid", "node")
+    members = nodes.where("least is not null").select(F.col("least").alias("doc_id"), "nid", "node")
     texts = source.join(sent(members, 96), "doc_id").select("node", "nid", "text")
-    lone = posted_nodes.where("least is null").select("node", "nid")
+    lone = nodes.where("least is null").select("node", "nid")
     if lone.limit(1).count():  # sets of rows without an id alone are found by their digests
         tagged = common.mapped(source.where("doc_id is null"), _tagged("text", "node"), T.StructType([*source.schema.fields, T.StructField("node", T.BinaryType())]))
         texts = texts.unionByName(tagged.join(sent(lone, 64), "node").select("node", "nid", "text").dropDuplicates(["nid"]))
@@ -252,47 +293,8 @@ def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str = "do
     if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["nid"])  # ids of several rows
     sets = common.settled(sets)
-    links = common.settled(_confirmed(_pairs(posted.join(_hubs(posted), ["key", "nid"]), posted, percent), signs, sets, percent))
-    comp, refined, last, turns = common.settled(components(links)), False, False, 0
-    while not last:
-        now = posted.join(sent(comp, 48), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("most"))
-        main = common.settled(main.where("comps > 1"))
-        left = main.agg(F.sum(F.expr("(n - most) * n"))).first()[0] or 0
-        if not left:
-            break
-        last = left <= OPEN_PER_POSTING * total or turns == HUB_ROUNDS
-        open_lists = now.join(sent(main.select("key"), 32), "key", "left_semi")
-        if not last and not refined:
-            posted, refined = common.settled(fine_postings(open_lists.select("nid").distinct(), sets, percent)), True
-            total = posted.count()
-            posted = posted.coalesce(total // EDGES + 1)
-            continue
-        outside = now.join(main.select("key", "main"), "key").where("comp <> main").drop("main")
-        hubs = outside if last else outside.join(_hubs(outside), ["key", "nid"])
-        new = common.settled(_confirmed(_pairs(hubs, open_lists, percent), signs, sets, percent))
-        if new.limit(1).count():
-            links = links.union(new)
-            comp = common.settled(components(links))
-        turns += 1
-    return comp
-
-
-def fine_postings(open_nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """key, nid, n, weight, rest: nodes under the rarest of their shingles, n - ceil(n * percent / 100) + 1 of n, of which two similar sets share
-    one; rest: how many shingles the node has from this one on in the common order, rarest first."""
-    each = sets.join(sent(open_nodes, 32), "nid", "left_semi").select("nid", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(shared, "key").groupBy("nid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
-    least = F.expr(f"cast((n * {percent} + 99) div 100 as int)")
-    room = F.size("keys") - least + 1
-    posted = ranked.where(room > 0).select("nid", "n", _weight(), (F.col("n") - F.size("keys")).alias("alone"), F.posexplode(F.slice("keys", F.lit(1), room)).alias("nth", "k"))
-    posted = common.settled(posted.select(F.col("k.key").alias("key"), "nid", "n", "weight", (F.col("n") - F.col("alone") - F.col("nth")).alias("rest")))
-    # Where two sets first meet in the common order, they share no more than what is left of either; a node leaves a list in which no
-    # partner is small enough for that.
-    small = posted.groupBy("key").agg(F.min("n").alias("low"))
-    return posted.join(small, "key").where(100 * F.col("rest") >= percent * (F.col("n") + F.greatest("low", least) - F.col("rest"))).drop("low")
+    common.dropped(nodes)
+    return sets
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

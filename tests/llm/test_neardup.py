@@ -69,9 +69,8 @@ def test_families_and_passages(spark):
     check(spark, list(enumerate(rows)))
 
 
-def test_a_group_that_is_half_alike(spark, monkeypatch):
-    """Many open pairs: the lists are refined and hubs are used, and no link is lost."""
-    monkeypatch.setattr(neardup, "OPEN_PER_POSTING", 0)
+def test_a_group_that_is_half_alike(spark):
+    """Many open pairs: the bound leaves few of them, and no link is lost."""
     rng = random.Random(2)
     base = [f"w{i}" for i in range(150)]
     check(spark, list(enumerate(family(rng, base, 150, 12))))
@@ -121,9 +120,8 @@ def test_deduplicated_at_80_percent(spark, docs_of):
     assert (neardup.matches(85), neardup.matches(80)) == (17, 14)
 
 
-def test_families_at_80_percent(spark, monkeypatch):
-    """Against all pairs, with refinement."""
-    monkeypatch.setattr(neardup, "OPEN_PER_POSTING", 0)
+def test_families_at_80_percent(spark):
+    """Against all pairs."""
     rng = random.Random(3)
     rows = list(enumerate(family(rng, [f"w{i}" for i in range(150)], 80, 8)))
     sets = [shingles(t) for _, t in rows]
