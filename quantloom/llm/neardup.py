@@ -8,10 +8,11 @@
 4. Skip merging: a posting list is never expanded into its pairs.  First each list compares its nodes with a hub, the one that has
    most in common with all: as many comparisons as postings.  Links found join nodes into components, and pairs inside one are skipped.
 5. What is left open in a list are the pairs of different components without the hub.  For the nodes of such lists it is counted how
-   many of their shingles no other such node has (alone).  The symmetric difference of x and y has at least
-   alone_x + alone_y + |(n_x - alone_x) - (n_y - alone_y)| elements, so a node with too many such shingles leaves its lists, and the
-   rest meet only where this bound allows a link: lists are parted into bands of n - alone, each node outside its list's largest
-   component looks up the bands that it can reach, and a pair is made in the first list that both are in.
+   many of their shingles no other such node has (alone), and how many of the others (common) have a hash in each of BUCKETS.  The
+   symmetric difference of x and y has at least alone_x + alone_y + sum over the buckets |common_x - common_y| elements, so a node with
+   too many shingles of its own leaves its lists, and the rest meet only where this bound allows a link: lists are parted into bands of
+   the sum of common, each node outside its list's largest component looks up the bands that it can reach, and a pair is made in the
+   first list that both are in.
 6. A pair first counts its matching coordinates; those with m or more are confirmed on the full shingle sets.
 
 m follows from the percentage that links (matches): with COORDS = 32 it is 17 at 85 % and 14 at 80 %, where a pair at just that
@@ -43,6 +44,8 @@ PERCENT = 85
 MISSED = 4e-6
 #: Ratio of neighbouring bands.
 BAND = 1.02
+#: Parts of the shingles whose numbers are compared before the sets are.
+BUCKETS = 32
 #: Rows of links or postings for each partition, where a step makes far fewer rows than it has partitions.
 EDGES = 50_000
 #: Bytes of text that are hashed at a time; each takes some ten times as much memory.
@@ -71,6 +74,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+_BUCKET_BITS = 20
 _POWER: list[np.ndarray] = list(_powers(1 << 12))
 
 
@@ -258,29 +262,35 @@ def open_pairs(posted: DataFrame, prefix: DataFrame, lists: DataFrame, comp: Dat
     open_keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     now = common.settled(now.join(sent(open_keys, 32), "key", "left_semi"))
     each = sets.join(sent(now.select("nid").distinct(), 32), "nid", "left_semi").select("nid", F.explode("shingles").alias("shingle"))
-    alone = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("nid").alias("nid")).where("df = 1").groupBy("nid").agg(F.count("*").alias("alone"))
-    bound = prefix.select("nid", "n", "keys").join(now.select("nid").distinct(), "nid", "left_semi").join(alone, "nid", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long")))
+    own = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("nid").alias("nid")).where("df = 1").withColumn("bucket", _bucket("shingle"))
+    own = own.groupBy("nid").agg(F.count("*").alias("alone"), F.array(*[F.count_if(F.col("bucket") == i) for i in range(BUCKETS)]).alias("own"))
+    none = F.array_repeat(F.lit(0).cast("long"), BUCKETS)
+    bound = prefix.select("nid", "n", "keys").join(sets.select("nid", "buckets").join(sent(now.select("nid").distinct(), 32), "nid", "left_semi"), "nid").join(own, "nid", "left")
+    bound = bound.select("nid", "n", "keys", F.coalesce("alone", F.lit(0).cast("long")).alias("alone"), F.zip_with("buckets", F.coalesce("own", none), lambda p, q: (p - q).cast("int")).alias("common"))
     bound = common.settled(bound.where(f"100 * alone <= {100 - percent} * n"))
-    held = now.join(sent(bound, 64 + 8 * COORDS), "nid").withColumn("common", F.col("n") - F.col("alone"))
+    held = now.join(sent(bound, 64 + 8 * COORDS + 4 * BUCKETS), "nid").withColumn("shared", F.col("n") - F.col("alone"))
     sizes = held.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
     held = held.join(sent(sizes.where("comps > 1").select("key", "main"), 48), "key").withColumn("out", F.col("comp") != F.col("main")).drop("main")
     band = lambda c: F.floor(F.log(c) / math.log(BAND))  # noqa: E731  c >= 1: alone is less than n
     reach = F.expr(f"{100 - percent} * n / {percent} - alone")
-    low, high = F.greatest(F.col("common") - reach, F.lit(1.0)), F.col("common") + reach
+    low, high = F.greatest(F.col("shared") - reach, F.lit(1.0)), F.col("shared") + reach
     x = held.where("out").withColumn("band", F.explode(F.sequence(band(low), band(high))))
-    y = held.withColumn("band", band(F.col("common").cast("double")))
-    x = x.select("key", "band", *[F.col(c).alias(f"{c}_a") for c in ("nid", "n", "alone", "common", "comp", "keys")])
-    y = y.select("key", "band", *[F.col(c).alias(f"{c}_b") for c in ("nid", "n", "alone", "common", "comp", "keys", "out")])
-    fits = f"comp_a <> comp_b and (not out_b or nid_a < nid_b) and {_alike('n_a', 'n_b', percent)} and {100 + percent} * (alone_a + alone_b + abs(common_a - common_b)) <= {100 - percent} * (n_a + n_b)"
-    first = F.element_at(F.array_intersect("keys_a", "keys_b"), 1)
-    met = x.join(y, (x["key"] == y["key"]) & (x["band"] == y["band"]) & F.expr(fits) & (first == x["key"]))
+    y = held.withColumn("band", band(F.col("shared").cast("double")))
+    x = x.select("key", "band", *[F.col(c).alias(f"{c}_a") for c in ("nid", "n", "alone", "shared", "common", "comp", "keys")])
+    y = y.select("key", "band", *[F.col(c).alias(f"{c}_b") for c in ("nid", "n", "alone", "shared", "common", "comp", "keys", "out")])
+    new = F.expr(f"comp_a <> comp_b and (not out_b or nid_a < nid_b) and {_alike('n_a', 'n_b', percent)}")
+    fits = F.expr(f"{100 + percent} * (alone_a + alone_b + abs(shared_a - shared_b)) <= {100 - percent} * (n_a + n_b)")
+    first = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == x["key"]
+    apart = " + ".join(f"abs(common_a[{i}] - common_b[{i}])" for i in range(BUCKETS))
+    near = F.expr(f"{100 + percent} * (alone_a + alone_b + {apart}) <= {100 - percent} * (n_a + n_b)")
+    met = x.join(y, (x["key"] == y["key"]) & (x["band"] == y["band"]) & new & fits & near & first)
     out = common.settled(met.select(F.least("nid_a", "nid_b").alias("a"), F.greatest("nid_a", "nid_b").alias("b")))
     common.dropped(now, bound)
     return out
 
 
 def full_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """nid, shingles of nodes, made again from their texts."""
+    """nid, shingles and buckets of nodes, made again from their texts."""
     nodes = common.settled(nodes.select("nid", "node", "least"))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     members = nodes.where("least is not null").select(F.col("least").alias("doc_id"), "nid", "node")
@@ -289,7 +299,7 @@ def full_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str, t
     if lone.limit(1).count():  # sets of rows without an id alone are found by their digests
         tagged = common.mapped(source.where("doc_id is null"), _tagged("text", "node"), T.StructType([*source.schema.fields, T.StructField("node", T.BinaryType())]))
         texts = texts.unionByName(tagged.join(sent(lone, 64), "node").select("node", "nid", "text").dropDuplicates(["nid"]))
-    sets = common.mapped(texts, _sets, "nid long, shingles array<long>")
+    sets = common.mapped(texts, _sets, "nid long, shingles array<long>, buckets array<int>")
     if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["nid"])  # ids of several rows
     sets = common.settled(sets)
@@ -297,13 +307,21 @@ def full_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str, t
     return sets
 
 
+def _bucket(shingle: str) -> "F.Column":
+    return F.shiftrightunsigned(shingle, _BUCKET_BITS) % BUCKETS
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """nid, shingles; without texts other than the one that the node stands for (of an id that several texts share)."""
+    """nid, shingles, buckets (how many are in each); without texts other than the one that the node stands for (of an id that several texts share)."""
     for batch in common.slices(batches, "text", size=SLICE):
         flat, bounds = shingle_sets(*common.utf8(batch, "text"))
         keep = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() == n for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column(0).to_pylist(), strict=True)]
         full = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(1), full], ["nid", "shingles"]).filter(pa.array(keep, pa.bool_()))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        place = row * BUCKETS + ((flat >> np.uint64(_BUCKET_BITS)) % np.uint64(BUCKETS)).astype(np.int64)
+        count = np.bincount(place, minlength=batch.num_rows * BUCKETS).astype(np.int32)
+        buckets = pa.FixedSizeListArray.from_arrays(pa.array(count), BUCKETS).cast(pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(1), full, buckets], ["nid", "shingles", "buckets"]).filter(pa.array(keep, pa.bool_()))
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
