@@ -3,7 +3,9 @@
 A page is read into blocks: runs of text between block-level tags, in page order, character references decoded and white space
 collapsed.  A classifier of the block and of what encloses it (its elements, the words of their class, id and role, lengths,
 punctuation, the share of linked text) gives log-odds of content, which become capacities from the source (content) or to the sink
-(boilerplate).  Smoothness edges join neighbours in page order, and each block to its parent element and that to the next one up (DOM
+(boilerplate).  What an element's tag or names say against it weighs less the deeper below it a block stands, and less the more
+of the page's prose the element holds with little prose outside: a form or a sidebar's name around the whole article says nothing.
+Of several articles, those with a small part of the largest one's prose are teasers and count as outside.  Smoothness edges join neighbours in page order, and each block to its parent element and that to the next one up (DOM
 proximity).  The maximum flow between the terminals leaves the cut of least cost: blocks that the source still reaches are content.
 
 The costs are parameters (COSTS), not learned: the tables hold no labelled pages.
@@ -27,12 +29,16 @@ from . import common
 
 #: Log-odds of content, and weights of smoothness edges.
 COSTS = {
-    "boilerplate": -7.0, "article": 3.0, "named_content": 1.0, "paragraph": 0.8, "heading": 0.5, "long": 0.8, "sentences": 0.8,
+    "boilerplate": -7.0, "named_by_head": -4.0, "named_in_part": -1.5, "own_content": 3.0, "article": 3.0, "named_content": 1.0, "paragraph": 0.8, "heading": 0.5, "long": 0.8, "sentences": 0.8,
     "short": -0.7, "linked": -2.5, "some_links": -0.6, "listed_link": -1.0, "rights": -2.0, "outside": -3.5,
     "next_sibling": 1.2, "next_cousin": 0.8, "next": 0.4, "parent": 0.5, "up": 0.3, "border": 0.3,
 }
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)""", re.S)
+#: What a level of depth leaves of an element's cost; words of prose in an element, and outside of it, that count in full; the part of
+#: the largest article's prose under which another one is a teaser.
+DECAY, PROSE, PROSE_OUTSIDE, TEASER = 0.95, 15, 20, 0.4
+
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?]|<(/?)([a-zA-Z][^\s/>]*)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _RIGHTS = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bcookies?\b|\bsubscribe\b|\bsign up\b", re.I)
@@ -55,6 +61,8 @@ ENDS = {
 }
 BOILER_TAGS = frozenset("nav footer aside form button fieldset dialog menu header head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar tablist toolbar".split())
+#: Those whose cost no prose inside outweighs.
+HARD_TAGS = frozenset("nav footer button dialog menu head".split())
 #: Words of class and id that name boilerplate, and those that name content.
 BOILER_WORDS = frozenset(
     """ad ads adv adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners nav navbar navigation
@@ -65,45 +73,108 @@ BOILER_WORDS = frozenset(
     feedback toc""".split()
 )
 CONTENT_WORDS = frozenset("article content post entry story main body text prose page".split())
+HARD_WORDS = frozenset("comment comments commentlist disqus cookie cookies consent nav navbar navigation menu menus breadcrumb breadcrumbs pagination".split())
+#: Words that say nothing beside others; first words and last words that make a name speak of something else; words of titles.
+FRAME_WORDS = frozenset("list box wrap wrapper container section area block inner outer top bottom left right site global primary secondary item items group panel bar unit slot col column content".split())
+ABOUT_FIRST = frozenset("with has no without not is category cat tag type format show".split())
+ABOUT_LAST = frozenset("open opened closed visible enabled disabled active on off true false".split())
+TITLE_WORDS = frozenset("of for and the on in to a an".split())
 
 
 class Element:
-    __slots__ = ("tag", "up", "boiler", "article", "named", "node", "link", "listed", "mute", "loose")
+    __slots__ = ("tag", "up", "bad", "hard", "flag", "article", "story", "named", "node", "link", "listed", "mute", "loose", "prose", "holds", "told")
 
     def __init__(self, tag: str, up: "Element | None", attrs: str) -> None:
         self.tag, self.up, self.node, self.loose = tag, up, -1, False
         self.mute = up.mute if up else None  # the outermost element around whose text is not shown
-        self.boiler, self.article, self.named, self.link, self.listed = (up.boiler, up.article, up.named, up.link, up.listed) if up else (False, False, False, False, False)
+        self.article, self.story, self.named, self.link, self.listed = (up.article, up.story, up.named, up.link, up.listed) if up else (False, None, False, False, False)
+        #: What is said against the element, the nearest one around (itself too) of which something is, prose with that nearest one,
+        #: whether it holds an article, and the cost of all around once it is known.
+        self.bad, self.hard, self.flag, self.prose, self.holds, self.told = 0.0, False, up.flag if up else None, 0, False, None
         if tag == "a":
             self.link = True
         elif tag == "li":
             self.listed = True
-        words, role, gone = _named(attrs) if attrs else ((), "", False)
+        names, role, gone = _named(attrs) if attrs else ((), "", False)
         plain = tag in ("html", "body", "main")
-        if tag in BOILER_TAGS and not (tag == "header" and self.article) or role in BOILER_ROLES or gone or not plain and BOILER_WORDS.intersection(words):
-            self.boiler = True
-        elif tag in ("article", "main") or role in ("main", "article") or "articlebody" in words:
-            self.article = True
-        elif CONTENT_WORDS.intersection(words) and not plain:
+        body = tag in ("article", "main") or role in ("main", "article")
+        bad, content = 0.0, body
+        for words in () if plain else names:
+            b, c, h = spoken(words)
+            bad, content, self.hard = min(bad, b), content or c, self.hard or h
+        bad = min(0.0, bad + COSTS["own_content"]) if content else bad
+        if tag in BOILER_TAGS and not (tag == "header" and self.article) or role in BOILER_ROLES or gone:
+            bad, self.hard = COSTS["boilerplate"], self.hard or tag in HARD_TAGS
+        if bad:
+            self.bad, self.flag = bad, self
+        if tag == "article" and bad > COSTS["named_by_head"]:
+            self.story = self
+        if body and bad > COSTS["named_by_head"] or ["articlebody"] in names:
+            self.article, e = True, up
+            while e and not e.holds:
+                e.holds, e = True, e.up
+        elif content and not plain:
             self.named = True
 
-
-def _named(attrs: str) -> tuple[list[str], str, bool]:
-    """The words of class and id, the role, and whether the element is hidden."""
-    words, role, gone = [], "", False
+    def cost(self) -> float:
+        """What is said against this element and those around it."""
+        chain, e = [], self
+        while e is not None and e.told is None:
+            chain.append(e)
+            e = e.up
+        sum_ = e.told if e else 0.0
+        for e in reversed(chain):
+            sum_ = sum_ * DECAY + e.bad * (1.0 if e.hard else e.weight()) if e.bad else sum_ * DECAY
+            e.told = sum_ = max(sum_, COSTS["boilerplate"])
+        return self.told
+
+    def weight(self) -> float:
+        """How much of `bad` stands: all of it, unless the element holds an article or much prose and there is little outside."""
+        outside, e = 0, self.up
+        while e:  # the flagged ones around, and the top
+            e = e.flag if e.flag is not None else e
+            while e.flag is None and e.up:
+                e = e.up
+            outside += e.prose
+            e = e.up
+        inside = 1.0 if self.holds else min(1.0, self.prose / PROSE)
+        return 1.0 - inside * (1.0 - min(1.0, outside / PROSE_OUTSIDE))
+
+
+def spoken(words: list[str]) -> tuple[float, bool, bool]:
+    """What the words of one name say: log-odds of boilerplate, whether it names content, and whether no prose outweighs it."""
+    bad = [w for w in words if w in BOILER_WORDS]
+    if not bad:
+        return 0.0, any(w in CONTENT_WORDS for w in words), False
+    if len(words) > 1 and (words[0] in ABOUT_FIRST or words[-1] in ABOUT_LAST or TITLE_WORDS.intersection(words)):
+        return 0.0, False, False
+    rest = [w for w in words if w not in BOILER_WORDS and w not in FRAME_WORDS and not w.isdigit()]
+    if bad == ["header"] and CONTENT_WORDS.intersection(words):
+        return 0.0, False, False
+    hard = bool(HARD_WORDS.intersection(bad))
+    if not rest:
+        return COSTS["boilerplate"], False, hard
+    if words[-1] in BOILER_WORDS or CONTENT_WORDS.issuperset(rest):
+        return COSTS["boilerplate"] if hard or CONTENT_WORDS.issuperset(rest) else COSTS["named_by_head"], False, hard
+    return COSTS["named_in_part"], False, False
+
+
+def _named(attrs: str) -> tuple[list[list[str]], str, bool]:
+    """The words of each name in class and id, the role, and whether the element is hidden."""
+    names, role, gone = [], "", False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words += [w.lower() for w in _WORD.findall(value)]
+            names += [[w.lower() for w in _WORD.findall(token)] for token in value.split()]
         elif name == "role":
             role = value.lower()
         elif name == "itemprop":
-            words.append(value.lower())
+            names.append([value.lower()])
         elif name == "style":
             gone = gone or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name == "hidden" or value.lower() == "true":
             gone = True
-    return words, role, gone
+    return names, role, gone
 
 
 class Block:
@@ -159,14 +230,14 @@ def blocks(page: str) -> list[Block]:
             if raw.isspace():
                 return
             holder = now
-            while holder.up and holder.tag in INLINE and holder.boiler == holder.up.boiler:
+            while holder.up and holder.tag in INLINE and holder.flag is holder.up.flag:
                 holder = holder.up
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if now.link:
             linked += len(text.strip())
 
-    at, size, end_of = 0, len(page), _ends(page)
+    at, size, end_of, ended = 0, len(page), _ends(page), False
     while at < size:
         m = _TAG.search(page, at)
         if not m:
@@ -177,9 +248,16 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m[2]
         if not tag:
+            if len(m[0]) == 2:  # a declaration
+                close_at = -1 if ended else page.find(">", at)
+                ended = close_at < 0
+                at = at if ended else close_at + 1
+                if ended:
+                    say(m[0])
             continue
-        close_at = end_of(at)
-        if close_at < 0 and (close_at := page.find(">", at)) < 0:
+        close_at = -1 if ended else end_of(at)
+        if close_at < 0 and (ended or (close_at := page.find(">", at)) < 0):
+            ended = True
             say(m[0])
             continue
         attrs, at = page[at:close_at], close_at + 1
@@ -217,7 +295,7 @@ def blocks(page: str) -> list[Block]:
             while e.up and e.tag != tag and (block or e.tag in INLINE):
                 e = e.up
             if e.up and e.tag == tag:
-                if e.boiler and not e.up.boiler:
+                if e.flag is not e.up.flag:
                     close()
                 now = e.up
         elif tag in VOID:
@@ -236,34 +314,56 @@ def blocks(page: str) -> list[Block]:
                         now = e
             if not attrs.endswith("/") or block:
                 inner = Element(tag, now, attrs)
-                if inner.boiler and not now.boiler:  # an advert in a line parts it
+                if inner.flag is not now.flag:  # an advert in a line parts it
                     close()
                 now = inner
     close()
     return found
 
 
-def cost(b: Block, marked: bool) -> float:
-    """Log-odds of content.  marked: whether the page marks an article at all."""
+def cost(b: Block, marked: bool, teasers: frozenset = frozenset()) -> float:
+    """Log-odds of content.  marked: whether the page marks an article at all; teasers: articles that are none."""
     c, e = COSTS, b.at
-    if e.boiler:
-        return c["boilerplate"]
     words = b.text.count(" ") + 1
-    s = c["article"] if e.article else c["outside"] if marked else 0.0
+    article = e.article and e.story not in teasers
+    s = c["article"] if article else c["outside"] if marked else 0.0
     s += c["named_content"] * e.named
     s += c["paragraph"] if e.tag in ("p", "blockquote", "pre") else c["heading"] if e.tag in HEADINGS else 0.0
     share = b.linked / max(len(b.text), 1)
     s += c["linked"] * (share > 0.6) + c["some_links"] * (0.3 < share <= 0.6) + c["listed_link"] * (e.listed and share > 0.6)
     s += c["long"] * (words >= 12) + c["sentences"] * bool(words >= 5 and _END.search(b.text))
-    if not e.article:
+    if not article:
         s += c["short"] * (words < 4) + c["rights"] * bool(words < 40 and _RIGHTS.search(b.text))
-    return s
+    told = e.cost()
+    # What is wholly boilerplate by name is so whatever its text is like.
+    return told if told <= c["boilerplate"] * DECAY**8 else s + told
 
 
 def labels(found: list[Block]) -> list[bool]:
     """Whether each block is content."""
-    c, marked = COSTS, any(b.at.article and not b.at.boiler for b in found)
-    excess = [cost(b, marked) for b in found]
+    c = COSTS
+    stories: dict[Element, int] = {}
+    for b in found:
+        e = b.at
+        words = b.text.count(" ") + 1
+        if words >= 5 and b.linked <= 0.3 * len(b.text):
+            if e.story is not None and e.flag in (None, e.story.flag):
+                stories[e.story] = stories.get(e.story, 0) + words
+            if (f := e.flag) is None:
+                f = e
+                while f.up:
+                    f = f.up
+            f.prose += words
+    most = max(stories.values(), default=0)
+    around = {max(stories, key=stories.get, default=None)}
+    for e in list(around):
+        while e:
+            around.add(e)
+            e = e.up
+    teasers = frozenset(s for b in found if (s := b.at.story) is not None and s not in around and stories.get(s, 0) < TEASER * most)
+    marked = any(b.at.article and b.at.cost() > c["named_by_head"] for b in found)
+    excess = [cost(b, marked, teasers) for b in found]
+    apart = lambda p, q: abs(p.cost() - q.cost()) > 1.5
     flow = Flow(excess)
     for i, b in enumerate(found):
         e, child = b.at, i
@@ -272,14 +372,14 @@ def labels(found: list[Block]) -> list[bool]:
             fresh = e.node < 0
             if fresh:
                 e.node = flow.node()
-            flow.join(child, e.node, weight * (c["border"] if e.up.boiler != e.boiler else 1))
+            flow.join(child, e.node, weight * (c["border"] if apart(e.up, e) else 1))
             if not fresh:
                 break
             child, e, weight = e.node, e.up, c["up"]
         if i:
             p, q = found[i - 1].at, b.at
             near = c["next_sibling"] if p is q or p.up is q.up else c["next_cousin"] if p.up and q.up and p.up.up is q.up.up else c["next"]
-            flow.join(i - 1, i, near * (c["border"] if p.boiler != q.boiler else 1))
+            flow.join(i - 1, i, near * (c["border"] if apart(p, q) else 1))
     for b in found:
         e = b.at
         while e and e.node >= 0:
