@@ -1,8 +1,9 @@
 """Benchmark decontamination by a broadcast hash set of normalised word n-grams.
 
 Text is lower-cased (A-Z only) and cut into words; a benchmark window is WINDOW consecutive words of one item, or all words of a
-shorter, non-empty item.  Windows are hashed and sent to every executor behind a check of their size; a benchmark beyond the bound
-is sent in blocks of items, one scan of the documents for each block, and the hits of the blocks are united per row.  Documents are
+shorter, non-empty item.  Windows are sent to every executor as sorted hashes and the places of the numbered words they stand for; what
+is sent is measured, and a benchmark beyond the bound is sent in blocks of items, one scan of the documents for each block, and the
+hits of the blocks are united per row.  Documents are
 scanned a batch at a time in numpy: rolling window hashes that meet the set are verified word by word, so a hash collision never
 counts.
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-#: Bytes of benchmark text whose windows are sent to executors at once.
-BLOCK_BYTES = 16 << 20
+#: Bytes of windows and words, as measured, that are sent to executors at once (one item may exceed it); bytes of text that are read at once.
+BLOCK_BYTES = TEXT_BYTES = 32 << 20
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -37,20 +38,29 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of a block of items: numbered words, hashes by window length, and the items that own each window."""
+    """Windows of a block of items: numbered words, all items' words in a row, and by window length the sorted hashes and places."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW) -> None:
-        self.window, self.vocab, owners = window, {}, {}
+        self.vocab, self.items, flat, starts = {}, [], [], []
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            n = min(len(ids), window)
-            for i in range(len(ids) - n + 1 if n else 0):
-                owners.setdefault(tuple(ids[i : i + n]), set()).add(item)
-        by_length: dict[int, dict[int, list]] = {}
-        for key, own in owners.items():
-            code = int(self._hash(np.array(key, np.uint64), len(key))[0])
-            by_length.setdefault(len(key), {}).setdefault(code, []).append((key, own))
-        self.by_length = [(n, np.array(sorted(codes), np.uint64), codes) for n, codes in sorted(by_length.items())]
+            if words := words_of(text):
+                self.items.append(item)
+                starts.append(len(flat))
+                flat += [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
+        self.flat, self.starts = np.array(flat, np.int32), np.array(starts, np.int64)
+        size = np.diff(np.append(self.starts, len(flat)))
+        own = np.minimum(size, window)
+        left = np.repeat(self.starts + size, size) - np.arange(len(flat))  # words of the item from each on
+        self.by_length = []
+        for n in np.unique(own).tolist():
+            at = np.flatnonzero(left >= n) if n == window else self.starts[own == n]
+            codes = self._hash(self.flat, n)[at]
+            order = np.argsort(codes, kind="stable")
+            self.by_length.append((n, codes[order], at[order].astype(np.int32)))
+
+    def sent_bytes(self) -> int:
+        """What the arrays and the vocabulary take in memory."""
+        return self.flat.nbytes + self.starts.nbytes + 64 * len(self.items) + sum(map(len, self.vocab)) + 150 * len(self.vocab) + sum(c.nbytes + a.nbytes for _, c, a in self.by_length)
 
     @staticmethod
     def _hash(ids: np.ndarray, n: int) -> np.ndarray:
@@ -68,17 +78,19 @@ class WindowSet:
         known = ids != 0
         edges = np.flatnonzero(np.diff(np.concatenate(([0], known.view(np.int8), [0]))))
         runs = edges.reshape(-1, 2)  # of words in the vocabulary
-        for n, codes, windows in self.by_length:
+        for n, codes, places in self.by_length:
             for a, b in runs[runs[:, 1] - runs[:, 0] >= n]:
                 found = self._hash(ids[a:b], n)
-                at = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
-                for i in np.flatnonzero(codes[at] == found) + a:
-                    key = tuple(ids[i : i + n].tolist())
-                    for window, own in windows[int(found[i - a])]:
-                        if window == key:
-                            hit[i] += 1
-                            hit[i + n] -= 1
-                            met.setdefault(int(np.searchsorted(starts, i, "right")) - 1, set()).update(own)
+                low = np.searchsorted(codes, found)
+                for k in np.flatnonzero(codes[np.minimum(low, len(codes) - 1)] == found).tolist():
+                    i, high = a + k, int(np.searchsorted(codes, found[k], "right"))
+                    at = places[low[k] : high].astype(np.int64)
+                    at = at[(self.flat[at[:, None] + np.arange(n)] == ids[i : i + n]).all(1)]
+                    if len(at):
+                        hit[i] += 1
+                        hit[i + n] -= 1
+                        owners = np.searchsorted(self.starts, at, "right") - 1
+                        met.setdefault(int(np.searchsorted(starts, i, "right")) - 1, set()).update(self.items[o] for o in owners.tolist())
         return np.cumsum(hit[:-1]) > 0, met
 
 
@@ -99,20 +111,30 @@ def scanned(batch: pa.RecordBatch, text: str, windows: WindowSet) -> Iterator[tu
         yield n, at[cuts[k] : cuts[k + 1]] - bounds[k], met.get(k, set())
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
-    """The items in lists of about `limit` bytes of text at most (a longer item is a list of its own)."""
+def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = BLOCK_BYTES, window: int = WINDOW) -> Iterator[WindowSet]:
+    """The window sets of the benchmark, one at a time, each of `limit` bytes at most or of one item."""
+
+    def parted(items: list[tuple]) -> Iterator[WindowSet]:
+        made = WindowSet(items, window)
+        if made.sent_bytes() <= limit or len(items) < 2:
+            yield made
+        else:
+            del made
+            yield from parted(items[: len(items) // 2])
+            yield from parted(items[len(items) // 2 :])
+
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
-    parts = max(1, -(-2 * total // limit) if total > limit else 1)
+    parts = max(1, -(-total // TEXT_BYTES))
     for k in range(parts):
         part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        yield [(r["i"], r["t"]) for r in part.collect()]
+        yield from parted([(r["i"], r["t"]) for r in part.collect()])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(WindowSet(b, window)) for b in blocks(benchmark, limit=limit)]
+    sent = [sc.broadcast(w) for w in blocks(benchmark, limit=limit, window=window)]
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if len(sent) == 1:
         return common.mapped(source, _report(sent[0]), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
@@ -185,7 +207,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_share:
     """docs without contamination: hit spans leave the texts; documents with more than max_share of their words hit go.
 
     All columns of docs stay; where a text changes and there is an integer column n_chars, it is counted anew."""
-    sent = [docs.sparkSession.sparkContext.broadcast(WindowSet(b, window)) for b in blocks(benchmark, limit=limit)]
+    sent = [docs.sparkSession.sparkContext.broadcast(w) for w in blocks(benchmark, limit=limit, window=window)]
     if len(sent) == 1:
         return common.mapped(docs, _cleaner(sent[0], text, max_share), docs.schema)
     # Every block scans the text as it was; the hits of all meet at the row, which is cut and judged once.
