@@ -31,7 +31,7 @@ NEAR, STEP, THRESHOLD = 40, 0.3, 0.6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
@@ -95,14 +95,24 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """As the pattern of four dotted numbers would match leftmost, each four of a chain; a run of digits is read once."""
+    for m in _DOTTED.finditer(text):
+        at, parts = m.start(), m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            size = sum(map(len, parts[k : k + 4])) + 3
+            yield at, at + size
+            at += size + 1
+
+
 def _proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """Kind, bounds, and whether the validator confirms."""
     for a, b in _emails(text):
         yield "email", a, b, True
     if not _DIGIT.search(text):
         return
-    for m in _IP.finditer(text):
-        yield "ip", m.start(), m.end(), all(map(_small, m[0].split(".")))
+    for a, b in _addresses(text):
+        yield "ip", a, b, all(map(_small, text[a:b].split(".")))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             d = _digits(m[0])
