@@ -1,10 +1,12 @@
 """SentencePiece vocabularies: exact cuts, token counts without ids, and sampled lossless encoding.
 
 Both operators rest on one property of the vocabulary, which is checked when it is loaded: no piece crosses the start of a run of
-spaces, nor a line feed.  Texts can then be cut there, and each distinct cut part is worked on once per task; what a part costs is
-joined to the parts of each document by dictionary, inside the batch, so that no row is shuffled and no text leaves its task.
+spaces, nor a line feed.  Texts can then be cut there into pre-tokens.
 
-Token counts: the library encodes each distinct pre-token once; a document's count is the sum over its pre-tokens.
+Token counts: (1) every task counts the pre-tokens of its texts, and a shuffle of these counts makes the corpus's table of distinct
+pre-tokens; (2) the library encodes each once, and only the number of its pieces is kept, in a table in the shared folder; (3) each
+document becomes its pre-token frequencies, which are joined to that table and summed.  The most frequent pre-tokens, as many as HEAD_BYTES
+hold, are sent to all tasks and joined there; the rest, which occur seldom, are joined by a shuffle of (row, pre-token, frequency).
 Sampling: pieces weigh as their rank (weight 1 / (rank + 2)); forward filtering sums the weights of all segmentations of a part up to
 each position, backward sampling draws one piece at a time from the end, with random numbers made from the row key and the position,
 so that a row gives the same pieces in any partition, batch or run.  Characters outside the vocabulary, and the space mark itself,
@@ -19,6 +21,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = "▁"
-#: Distinct parts that a task remembers; beyond, it forgets all and goes on.
-REMEMBERED = 120_000
+#: Distinct pre-tokens that a task gathers before it hands them on.
+GATHERED = 300_000
+#: Memory that the pre-tokens sent to all tasks may take, each its own bytes and ENTRY.
+HEAD_BYTES, ENTRY = 64 << 20, 120
 #: Bytes of text whose pieces are drawn at a time.
 SLICE = 1 << 19
 _UNITS = re.compile(r" +[^ ]*")
@@ -45,61 +51,104 @@ def processor(path: str):
     return sp
 
 
-class Memo:
-    """Token counts of parts, encoded by the library once each."""
+def pretokens(sp, text: str | None) -> list[str]:
+    """The pre-tokens of a text: the pieces of the text are those of its pre-tokens (pieces_of).
 
-    def __init__(self, path: str) -> None:
-        self.sp, self.words, self.units = processor(path), {}, {"": 0}
-
-    def learn(self, found: set[str]) -> None:
-        """found: words with one space before them, or with a line feed as their first character and no space."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if new := list(found.difference(self.words)):
-            for w, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-                self.words[w] = len(ids) - (w[:1] == "\n")  # there the library's own leading mark is a piece by itself
-
-    def unit(self, u: str) -> int:
-        """A run of spaces and what follows it."""
-        if len(self.units) > REMEMBERED:
-            self.units = {"": 0}
-        if u not in self.units:
-            self.units[u] = 1 if u == " " else len(self.sp.encode(u[1:]))
-        return self.units[u]
-
-    def counts(self, texts: list[str | None]) -> list[int]:
-        if not self.sp.cuts:
-            return [len(ids) for ids in self.sp.encode([t or "" for t in texts], num_threads=1)]
-        split = []
-        for t in texts:
-            t = (t or "").replace(SPACE, " ")  # the library takes the mark for a space
-            plain = t and "  " not in t and t[0] != " " and t[-1] != " " and " \n" not in t and "\x00" not in t
-            split.append(t.replace("\n", " \n").split(" ") if plain else None)
-            if plain and t[0] == "\n":  # then the leading mark stands alone
-                split[-1] = [*split[-1][1:]] if split[-1][0] == "" else split[-1]
-        self.learn({w for ws in split if ws for w in ws})
-        get, out = self.words.__getitem__, []
-        for t, ws in zip(texts, split, strict=True):
-            if ws is not None:
-                out.append(sum(map(get, ws)) + (t[0] == "\n"))
-            else:
-                t = (t or "").replace(SPACE, " ")
-                out.append(len(self.sp.encode(t)) if "\x00" in t else sum(map(self.unit, _UNITS.findall(" " + t))) if t else 0)
-        return out
+    A word stands for itself with one space before it, one that a line feed precedes holds it; those that begin with NUL stand for the rest of
+    them as a text of its own."""
+    t = (text or "").replace(SPACE, " ")  # the library takes the mark for a space
+    if not t:
+        return []
+    if "\x00" in t or not sp.cuts:
+        return ["\x00" + t]
+    if "  " not in t and t[0] != " " and t[-1] != " " and " \n" not in t:
+        return t.replace("\n", " \n").split(" ")
+    return ["\x00" + u[1:] if u[1:2] == "\n" else u[1:] for u in _UNITS.findall(" " + t)]
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_tokens as the library's encode would give, over_limit."""
+def pieces_of(sp, found: list[str]) -> list[int]:
+    """How many pieces each pre-token has; the library's own leading mark before a line feed is none of them, and alone it is one."""
+    ids = sp.encode([k[1:] if k[:1] == "\x00" else k for k in found], num_threads=1)
+    return [len(i) - (k[:1] == "\n") if k else 1 for i, k in zip(ids, found, strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(path)
-        for batch in common.slices(batches, "text"):
-            n = pa.array(memo.counts(common.texts(batch, "text")), pa.int64())
-            over = pa.array([x > limit for x in n.to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), n, over], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).alias("n_bytes"))
-    return common.mapped(source, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+def pretoken_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """key, freq, pieces: each distinct pre-token of all documents, how often it occurs, and how many pieces it has."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp, found = processor(path), Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["key", "freq"])
+        for batch in common.slices(batches, "text"):
+            for t in common.texts(batch, "text"):
+                found.update(pretokens(sp, t))
+            if len(found) > GATHERED:
+                yield out()
+                found.clear()
+        if found:
+            yield out()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = processor(path)
+        for batch in common.slices(batches, "key"):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces_of(sp, batch.column(0).to_pylist()), pa.int64())], ["key", "freq", "pieces"])
+
+    each = common.mapped(docs.select(F.col(text).alias("text")), gather, "key string, freq long")
+    return common.mapped(each.groupBy("key").agg(F.sum("freq").alias("freq")), encode, "key string, freq long, pieces long")
+
+
+def frequent(table: DataFrame, limit: int) -> tuple[dict[str, int], int]:
+    """The pieces of the pre-tokens that occur so often, and how often that is: the lowest power of two that the limit allows."""
+    size = F.sum(F.octet_length("key") + ENTRY)
+    classes = table.groupBy(F.floor(F.log2("freq")).alias("c")).agg(size.alias("size")).collect()  # 64 rows at most
+    held, least = 0, 64
+    for c, n in sorted(((r["c"], r["size"]) for r in classes), reverse=True):
+        held += n
+        if held > limit:
+            break
+        least = c
+    if least == 64:
+        return {}, 1 << 62
+    found = table.where(F.col("freq") >= 1 << least).select("key", "pieces").toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)), 1 << least
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text", head: int = HEAD_BYTES) -> DataFrame:
+    """A row for each document: doc_id, n_bytes, n_tokens as the library's encode would give, over_limit."""
+    spark = docs.sparkSession
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
+    pretoken_table(source, path).write.parquet(where := f"{common.shared_dir(spark)}/pretokens-{uuid.uuid4().hex}")
+    table = spark.read.parquet(where)
+    known, least = frequent(table, head)
+    sent = spark.sparkContext.broadcast(known)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document with the sum over its frequent pre-tokens, and one for each of its others."""
+        sp, get = processor(path), sent.value.get
+        for batch in common.slices(batches, "text"):
+            rows, keys, counts, own = [], [], [], []
+            for row, t in zip(batch.column(3).to_pylist(), common.texts(batch, "text"), strict=True):
+                total = 0
+                for k, n in Counter(pretokens(sp, t)).items():
+                    if (one := get(k)) is not None:
+                        total += n * one
+                    else:
+                        rows.append(row)
+                        keys.append(k)
+                        counts.append(n)
+                own.append(total)
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0), batch.column(2), pa.array(map(str, batch.column(3).to_pylist()), pa.string()), pa.array([0] * len(own), pa.int32()), pa.array(own, pa.int64())], names)
+            if rows:
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), none, none, pa.array(keys, pa.string()), pa.array([1] * len(rows), pa.int32()), pa.array(counts, pa.int64())], names)
+
+    names = ["row", "doc_id", "n_bytes", "key", "open", "n"]
+    each = common.mapped(source.withColumn("row", F.monotonically_increasing_id()), frequencies, "row long, doc_id long, n_bytes long, key string, open int, n long")
+    rest = table.where(F.col("freq") < least).select("key", "pieces", F.lit(1).alias("open"))
+    met = each.join(rest, ["key", "open"], "left").select("row", "doc_id", "n_bytes", (F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n"))
+    out = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    out = common.settled(out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
+    common.delete(spark, where)
+    return out
 
 
 class Lattice:
