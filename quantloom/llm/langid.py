@@ -6,12 +6,14 @@ learns filters and softmax together by Adam with the gradient passing through th
 windows from its first byte to its last, all windows of a batch go through the network at once, and a text's probabilities are the
 mean over its windows, each counted by the bytes it holds.
 
-Training sees at most FIT_ROWS rows, chosen by a hash of the id with equal shares for the languages (the documented bound of this
-classifier), and of each row up to FIT_WINDOWS windows.  Only text and lang are read in training, only text in prediction.
+Training sees about FIT_ROWS rows and twice that at most (one for each language at least), those of the smallest hashes, with equal
+shares for the languages: the documented bound of this classifier.  Of each row it sees FIT_WINDOWS windows at places that a hash of the id
+chooses, because neighbouring windows of one text teach less than windows of other texts.  Only text and lang are read in training,
+only text in prediction.  Windows go through the network in blocks of one size and sums run in one order, so a text's score does not
+depend on the rows beside it.
 
 Defined results: null texts and texts without a letter are `und` with score 0; windows of any text length are covered; repeated rows
-get equal results; without any labelled row everything is `und`; an empty table gives an empty result; languages beyond the
-MAX_LANGS most frequent are not learned.
+get equal results; without any labelled row everything is `und`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
-FIT_ROWS, FIT_WINDOWS, MAX_LANGS = 8000, 2, 256
+FIT_ROWS, FIT_WINDOWS, BLOCK = 8000, 2, 256
 UNKNOWN = "und"
 
 
@@ -56,7 +58,7 @@ class Network:
         for f in self.filters.values():
             f[:, 0] = -0.5  # padding
         self.dense = rng.normal(0, 0.2, (FILTERS * len(WIDTHS), len(langs))).astype(np.float32)
-        self.bias = np.zeros(len(langs), np.float32)
+        self.bias, self.pairs = np.zeros(len(langs), np.float32), None
 
     def pooled(self, x: np.ndarray, places: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
         best, at = [], []
@@ -71,7 +73,7 @@ class Network:
         return np.maximum(np.concatenate(best, 1), 0), at
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 9, batch: int = 64, rate: float = 0.01, seed: int = 2) -> "Network":
-        rng, step = np.random.default_rng(seed), 0
+        rng, step, self.pairs = np.random.default_rng(seed), 0, None
         params = [*self.filters.values(), self.dense, self.bias]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         share = np.bincount(y, minlength=len(self.langs)) / max(len(y), 1)
@@ -88,7 +90,8 @@ class Network:
                     g, d = np.zeros_like(f), dh[:, i * FILTERS : (i + 1) * FILTERS]
                     rows, cols = np.broadcast_to(np.arange(len(at))[:, None], d.shape), np.broadcast_to(np.arange(FILTERS), d.shape)
                     for k in range(w):
-                        np.add.at(g[k], (x[at][rows, places[i] + k], cols), d)
+                        place = x[at][rows, places[i] + k].astype(np.int64) * FILTERS + cols
+                        g[k] = np.bincount(place.ravel(), d.ravel(), 256 * FILTERS).reshape(256, FILTERS)
                     grads.append(g)
                 grads += [h.T @ p, p.sum(0)]
                 step += 1
@@ -99,28 +102,30 @@ class Network:
                     p_ -= now * (m_ / (1 - 0.9**step)) / (np.sqrt(v_ / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def probabilities(self, x: np.ndarray, block: int = 256) -> np.ndarray:
-        """Of windows; in blocks that stay in a core's cache.  Bytes that only occur with others are looked up in pairs."""
-        pairs = {w: [f[k][:, None] + f[k + 1][None] if k + 1 < w else f[k] for k in range(0, w, 2)] for w, f in self.filters.items()} if len(x) > 4096 else None
-        if pairs:
-            pairs = {w: [t.reshape(-1, FILTERS) for t in ts] for w, ts in pairs.items()}
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of windows; in blocks that stay in a core's cache, the last one filled up.  Neighbouring bytes are looked up in pairs."""
+        if self.pairs is None:
+            self.pairs = {w: [(f[k][:, None] + f[k + 1][None] if k + 1 < w else f[k]).reshape(-1, FILTERS) for k in range(0, w, 2)] for w, f in self.filters.items()}
         out = np.empty((len(x), len(self.langs)), np.float32)
-        for a in range(0, len(x), block):
-            part = x[a : a + block]
-            if not pairs:
-                h, _ = self.pooled(part)
-            else:
-                both = part[:, :-1].astype(np.int32) * 256 + part[:, 1:]
-                best = []
-                for w, tables in pairs.items():
-                    n = part.shape[1] - w + 1
-                    y = None
-                    for i, t in enumerate(tables):
-                        z = t[(both if t.shape[0] > 256 else part)[:, 2 * i : 2 * i + n]]
-                        y = z if y is None else np.add(y, z, out=y)
-                    best.append(y.max(1))
-                h = np.maximum(np.concatenate(best, 1), 0)
-            out[a : a + block] = softmax(h @ self.dense + self.bias)
+        for a in range(0, len(x), BLOCK):
+            part = x[a : a + BLOCK]
+            held = len(part)
+            if held < BLOCK:
+                part = np.concatenate([part, np.zeros((BLOCK - held, x.shape[1]), x.dtype)])
+            both = part[:, :-1].astype(np.int32) * 256 + part[:, 1:]
+            best = []
+            for w, tables in self.pairs.items():
+                n = part.shape[1] - w + 1
+                y = None
+                for i, t in enumerate(tables):
+                    z = t[(both if t.shape[0] > 256 else part)[:, 2 * i : 2 * i + n]]
+                    y = z if y is None else np.add(y, z, out=y)
+                best.append(y.max(1))
+            h = np.maximum(np.concatenate(best, 1), 0)
+            z = self.bias + np.zeros((BLOCK, 1), np.float32)
+            for k in range(h.shape[1]):
+                z += h[:, k : k + 1] * self.dense[k]
+            out[a : a + held] = softmax(z)[:held]
         return out
 
     def predict(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -139,7 +144,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> Network | None:
     """A network from about `rows` labelled rows; None if there is none."""
     usable = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    counts = {r["l"]: r["count"] for r in usable.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()}
+    counts = {r["l"]: r["count"] for r in usable.groupBy("l").count().collect()}
     if not counts:
         return None
     langs, each = sorted(counts), max(1, rows // len(counts))
@@ -147,8 +152,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     # Windows are cut at places that a hash of the id chooses, so that openings do not dominate; characters, at most four bytes each.
     spots = [F.substring(F.col("t"), (F.pmod(F.xxhash64(F.lit(i), "k"), F.greatest(F.lit(1), F.length("t") - WINDOW)) + 1).cast("int"), F.lit(WINDOW)) for i in range(FIT_WINDOWS)]
     chosen = usable.where(F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(1 << 30)) < share[F.col("l")])
-    sample = chosen.select("l", F.array(*spots).alias("w"), F.xxhash64("k", "t").alias("h")).limit(2 * rows).toPandas()
-    sample = sample.sort_values(["h", "l"])
+    sample = chosen.select("l", F.array(*spots).alias("w"), F.xxhash64("k", "t").alias("h")).orderBy("h", "l", "w").limit(2 * max(rows, len(counts))).toPandas()
     cut = [(w.encode("utf-8", "surrogatepass")[:WINDOW], n) for ws, n in zip(sample["w"], sample["l"], strict=True) for w in ws]
     cut = [(w, n) for w, n in cut if w]
     x = np.zeros((len(cut), WINDOW), np.uint8)
