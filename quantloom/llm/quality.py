@@ -5,7 +5,8 @@ few leaves, grown on the histogram of gradients over that feature's bins, is add
 Then the pairs of features whose quadrant trees reduce the remaining loss most are boosted the same way into two-way tables.  What
 remains of all trees are tables, so a score is the intercept plus one table entry per feature and per pair: vectorised bin additions.
 
-Training reads at most FIT_ROWS labelled rows, chosen by a hash of the id (the documented bound of this classifier).
+Training reads at most FIT_ROWS labelled rows, chosen by a hash of the id (the documented bound of this classifier; of more rows than twice
+that, as ids with very many labels make, those of the smallest hashes).
 
 Defined results: a null text counts as empty; the empty text has zero features and gets the score of those; texts of any length are
 measured whole; repeated rows get equal scores; conflicting labels of one id all count; without any labelled row every score is 0.5;
@@ -189,9 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, fold: "F.Column | None" = None, rows
     the documents' tasks, not the texts to theirs."""
     known = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null")
     known = known if fold is None else known.where(fold)
-    sample = common.bounded_sample(known, "doc_id", rows, known.count()).limit(2 * rows)
+    sample = common.bounded_sample(known, "doc_id", rows, known.count()).orderBy(F.xxhash64("doc_id", "quality"), "doc_id", "quality").limit(2 * rows)
     met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = measured(met, ["doc_id", "quality"]).limit(2 * rows).toPandas().sort_values(["doc_id", "quality"])
+    found = measured(met, ["doc_id", "quality"]).orderBy(F.xxhash64("doc_id", "quality", "features"), "doc_id", "quality", "features").limit(2 * rows).toPandas()
     if not len(found):
         return None
     return Additive().train(np.array(found["features"].tolist()), (found["quality"].to_numpy() > 0).astype(float))
