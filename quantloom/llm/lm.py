@@ -168,7 +168,8 @@ def fit(docs: DataFrame, text: str = "text", shards: int = SHARDS, rounds: int =
         sent = spark.sparkContext.broadcast(net.flat())
         trained = common.mapped(table, _trainer(sent, turn), "flat binary, weight double")  # a row for each shard
         if shards > MERGED:
-            trained = common.mapped(trained.repartition(MERGED), _merge, "flat binary, weight double")
+            dealt = trained.withColumn("shard", F.spark_partition_id()).repartition(MERGED, "shard").sortWithinPartitions("shard")
+            trained = common.mapped(dealt.select("flat", "weight"), _merge, "flat binary, weight double")
         rows = trained.collect()
         if not rows:
             break
