@@ -163,46 +163,63 @@ def features(pcm: np.ndarray) -> str:
     return f"n={len(pcm)};rms={np.sqrt((x * x).mean()):.3f};peak={int(np.abs(pcm.astype(np.int32)).max())};zcr={crossed:.6f};step={step:.3f}"
 
 
-def stored_payloads(docs: DataFrame, frame: int = 576, fill: int = 255, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts as mu-law telephone audio: UTF-8, padded with `fill` to a positive multiple of `frame` bytes, stored as 8-bit samples in
-    a WAV file, read back, expanded, resampled.  A row for each document: doc_id, n_bytes, payload_bytes, payload_sha256 and
-    tail_crc32 (of the bytes read back), media_bytes and media_sha256 (of the WAV), feature (of the resampled PCM)."""
+#: Codings of stored payloads, by the remainder of their checksum; the block length of the adaptive one.
+CODINGS, BLOCK = (MULAW, ALAW, IMA), 576
+
+
+def decoded(files: list[tuple[int, int, int, bytes] | None]) -> list[np.ndarray | None]:
+    """PCM of what unwav read.  ADPCM blocks of one length are decoded together, whatever files they come from."""
+    pcm: list[np.ndarray | None] = [decode(f[3], f[0], f[2]) if f and f[0] != IMA else None for f in files]
+    for length in {f[2] for f in files if f and f[0] == IMA and f[2] > 4}:
+        mine = [i for i, f in enumerate(files) if f and f[0] == IMA and f[2] == length]
+        whole = [len(files[i][3]) // length for i in mine]
+        both = np.concatenate([np.frombuffer(files[i][3], np.uint8)[: w * length].reshape(w, length) for i, w in zip(mine, whole, strict=True)])
+        parts = np.split(ima_blocks(both), np.cumsum(whole)[:-1])
+        for i, w, p in zip(mine, whole, parts, strict=True):
+            rest = files[i][3][w * length :]
+            pcm[i] = np.concatenate([p.ravel(), decode(rest, IMA, len(rest))]) if len(rest) > 4 else p.ravel()
+    return pcm
+
+
+def stored_payloads(docs: DataFrame, frame: int = 576, fill: int = 255, doc_id: str = "doc_id", text: str = "text", files: bool = False, rate: int = RATE_OUT) -> DataFrame:
+    """Texts as telephone audio: UTF-8, padded with `fill` to a positive multiple of `frame` bytes (the payload), stored in a WAV file whose
+    coding (mu-law, A-law, IMA ADPCM in blocks of BLOCK) the payload's CRC chooses, read back, expanded or decoded, resampled, and stored
+    as PCM.  A row for each document: doc_id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of the bytes read back), feature (of
+    the PCM read back), coding, and media_bytes, media_sha256, pcm_bytes and pcm_sha256 of the two files, or with `files` the files
+    themselves, media and pcm_wav."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            rows = []
-            for t in common.texts(batch, "text"):
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                media = wav(raw + bytes([fill]) * (-len(raw) % frame if raw else frame), MULAW)
-                form, rate, block, payload = unwav(media)
-                pcm = resample(decode(payload, form, block), rate)
-                rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(pcm)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names)
-
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            raws = [(t or "").encode("utf-8", "surrogatepass") for t in common.texts(batch, "text")]
+            media = []
+            for raw in raws:
+                payload = raw + bytes([fill]) * (-len(raw) % frame if raw else frame)
+                form = CODINGS[zlib.crc32(payload) % len(CODINGS)]
+                media.append(wav(payload, form, block=BLOCK))
+            read = [unwav(m) for m in media]
+            pcm = [wav(resample(p, f[1], rate).astype("<i2").tobytes(), PCM, rate) for p, f in zip(decoded(read), read, strict=True)]
+            back = [decode(unwav(w)[3], PCM) for w in pcm]
+            stored = [media, pcm] if files else [c for both in (media, pcm) for c in ([len(m) for m in both], [hashlib.sha256(m).hexdigest() for m in both])]
+            columns = [
+                [len(r) for r in raws], [len(f[3]) for f in read], [hashlib.sha256(f[3]).hexdigest() for f in read], [zlib.crc32(f[3][-32:]) for f in read],
+                [features(b) for b in back], [f[0] for f in read], *stored,
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, kinds[t]) for c, (_, t) in zip(columns, out[1:], strict=True))], [n for n, _ in out])
+
+    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+    out = [("doc_id", "long"), ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("feature", "string"), ("coding", "int")]
+    out += [("media", "binary"), ("pcm_wav", "binary")] if files else [("media_bytes", "long"), ("media_sha256", "string"), ("pcm_bytes", "long"), ("pcm_sha256", "string")]
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return common.mapped(source, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return common.mapped(source, run, ", ".join(f"{n} {t}" for n, t in out))
 
 
 def to_pcm(media: DataFrame, key: str, column: str, rate: int = RATE_OUT) -> DataFrame:
-    """key, pcm_wav (16-bit PCM at `rate`; null where the column holds no readable WAV), n_samples and feature.  ADPCM blocks of one
-    length are decoded together, whatever rows they come from."""
+    """key, pcm_wav (16-bit PCM at `rate`; null where the column holds no readable WAV), n_samples and feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "media"):
             files = [unwav(m) for m in common.texts(batch, "media")]
-            pcm: list[np.ndarray | None] = [decode(f[3], f[0], f[2]) if f and f[0] != IMA else None for f in files]
-            for length in {f[2] for f in files if f and f[0] == IMA and f[2] > 4}:
-                mine = [i for i, f in enumerate(files) if f and f[0] == IMA and f[2] == length]
-                whole = [len(files[i][3]) // length for i in mine]
-                both = np.concatenate([np.frombuffer(files[i][3], np.uint8)[: w * length].reshape(w, length) for i, w in zip(mine, whole, strict=True)])
-                parts = np.split(ima_blocks(both), np.cumsum(whole)[:-1])
-                for i, w, p in zip(mine, whole, parts, strict=True):
-                    rest = files[i][3][w * length :]
-                    pcm[i] = np.concatenate([p.ravel(), decode(rest, IMA, len(rest))]) if len(rest) > 4 else p.ravel()
-            out = [None if p is None else resample(p, f[1], rate) for p, f in zip(pcm, files, strict=True)]
+            out = [None if p is None else resample(p, f[1], rate) for p, f in zip(decoded(files), files, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
