@@ -1,17 +1,28 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quantloom.llm import pieces
 
 
-def test_counts_are_the_library_s(spark, docs_of, vocabulary, odd):
+@pytest.mark.parametrize("head", [pieces.HEAD_BYTES, 700, 0])
+def test_counts_are_the_library_s(spark, docs_of, vocabulary, odd, head):
+    """With all pre-tokens sent, some, and none."""
     sp = pieces.processor(vocabulary)
-    got = {r["doc_id"]: r for r in pieces.token_counts(docs_of(odd), vocabulary, limit=100).collect()}
-    for i, t in enumerate(odd):
-        n = len(sp.encode(t or ""))
-        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 100), repr(t)
-    assert pieces.token_counts(docs_of([]), vocabulary).count() == 0
+    rows = [*enumerate(odd), (3, odd[3]), (None, "a b a b")]
+    docs = docs_of([t for _, t in rows], [i for i, _ in rows])
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_bytes"], r["over_limit"]) for r in pieces.token_counts(docs, vocabulary, limit=100, head=head).collect())
+    want = [(i is None, i or 0, n := len(sp.encode(t or "")), len((t or "").encode()), n > 100) for i, t in rows]
+    assert got == sorted(want)
+    assert pieces.token_counts(docs_of([]), vocabulary, head=head).count() == 0
+
+
+def test_each_pretoken_is_encoded_once(spark, docs_of, vocabulary):
+    docs = docs_of(["a b a", "b a c", "c c c", None]).repartition(3)
+    table = pieces.pretoken_table(docs, vocabulary).collect()
+    assert sorted((r["key"], r["freq"]) for r in table) == [("a", 3), ("b", 2), ("c", 4)]
+    assert pieces.frequent(spark.createDataFrame(table), 2 * pieces.ENTRY + 10) == ({"c": len(pieces.processor(vocabulary).encode("c"))}, 4)
 
 
 def test_counts_on_the_tables(spark, vocabulary):
