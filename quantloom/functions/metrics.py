@@ -101,3 +101,27 @@ def standard_error(sr: Column, n: Column, sk: Column, ku: Column) -> Column:
     """Of a per-period Sharpe ratio under non-normal returns; null where undefined."""
     var = 1 - sk * sr + (ku + 2) / 4 * sr * sr
     return F.when((n >= 2) & (var > 0), F.sqrt(var / n))
+
+
+#: Units of resample(): what a count of them may be, and their length where it is fixed.
+UNITS = {"m": 60, "h": 3600, "d": 86400, "w": 604800}
+
+
+def resampled(curve: DataFrame, every: str, keys: list[str] = ["symbol"]) -> DataFrame:
+    """Curves by a longer period: the last equity, compounded returns, gains since the first period's equity.
+
+    every: a calendar unit (day, week, month, quarter, year) or a count and a letter of UNITS ("4h", "1d"), counted from the epoch, weeks
+    from Mondays; other letters are refused."""
+    import re
+
+    if m := re.fullmatch(r"([1-9][0-9]*)([a-z]+)", every):
+        if m[2] not in UNITS:
+            raise ValueError(f"unknown unit: {every}")
+        size, shift = int(m[1]) * UNITS[m[2]], 4 * 86400 if m[2] == "w" else 0
+        name, start = "period", F.timestamp_seconds(F.floor((F.unix_seconds("time") - shift) / size) * size + shift)
+    elif every in ("day", "week", "month", "quarter", "year", "hour"):
+        name, start = every, F.date_trunc(every, "time")
+    else:
+        raise ValueError(f"unknown unit: {every}")
+    x = curve.groupBy(*keys, start.alias(name)).agg(F.max_by("equity", "time").alias("equity"), windows.compounded(F.col("period_ret_net")).alias("ret"))
+    return x.withColumn("pnl", F.col("equity") - F.first("equity").over(windows.over(keys, name)))

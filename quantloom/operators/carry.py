@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom import schemas
 from quantloom.operators import windows
 from quantloom.session import shipped
 
@@ -186,26 +187,55 @@ def contributions(costed: DataFrame, capital_per_leg: float = 500.0, keys: list[
 def equity(costed: DataFrame, capital_per_leg: float = 500.0, keys: list[str] = ["symbol"]) -> DataFrame:
     """keys, time, equity, period_ret_gross, period_ret_net, cumulative_pnl.
 
-    The recursion e(t) = e(t-1) (1 + g(t)) - c(t) has the closed form e = P (nav - sum c / P) with P the running product of 1 + g, so two
-    window sums give it.  The first bar holds the capital; its costs are not charged."""
+    The recursion e(t) = e(t-1) (1 + g(t)) - c(t) has the closed form e = P (nav - sum c / P) with P the running product of 1 + g, so
+    window sums give it, up to the first bar that leaves nothing: a loss of all or more (g <= -1), or costs above what is left.  From there on
+    nothing is charged: e(t) = e(t-1) (1 + g(t)), whose sign the losses beyond 1 turn.  The first bar holds the capital; its costs are not
+    charged."""
     nav = 2 * capital_per_leg
     w = windows.over(keys, "time")
     running = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     bar = costed.groupBy(*keys, "time").agg(F.sum(F.col("weight") * F.col("leg_ret")).alias("_g"), F.sum(F.col("fees") + F.col("funding_paid") + F.col("slippage")).alias("_c"))
     bar = bar.withColumn("_first", F.row_number().over(w) == 1)
     bar = bar.withColumns({"_g": F.when(F.col("_first"), 0.0).otherwise(F.col("_g")), "_c": F.when(F.col("_first"), 0.0).otherwise(F.col("_c"))})
-    bar = bar.withColumn("_p", F.exp(F.sum(F.log1p("_g")).over(running)))
-    bar = bar.withColumn("equity", F.col("_p") * (nav - F.sum(F.col("_c") / F.col("_p")).over(running)))
-    net = F.col("_g") - F.coalesce(F.col("_c") / F.lag("equity").over(w), F.lit(0.0))
+    bar = bar.withColumn("_p", F.exp(F.sum(F.when(F.col("_g") > -1, F.log1p("_g"))).over(running)))
+    bar = bar.withColumn("_e", F.col("_p") * (nav - F.sum(F.col("_c") / F.col("_p")).over(running)))
+    bar = bar.withColumn("_dead", F.coalesce(F.max((F.col("_g") <= -1) | (F.col("_e") <= 0)).over(before), F.lit(False)))
+    # The bar at which nothing is left, and what it leaves; later bars are multiples of that.
+    last = F.when(F.col("_g") > -1, F.col("_e")).otherwise(F.lag("_e").over(w) * (1 + F.col("_g")) - F.col("_c"))
+    bar = bar.withColumn("_e", F.when(~F.col("_dead"), last))
+    held = F.last("_e", ignorenulls=True).over(running)
+    later = 1 + windows.compounded(F.when(F.col("_dead"), F.col("_g")), running)
+    bar = bar.withColumn("equity", F.when(F.col("_dead"), held * later).otherwise(F.col("_e")))
+    net = F.col("_g") - F.when(F.col("_dead"), 0.0).otherwise(F.coalesce(F.col("_c") / F.lag("equity").over(w), F.lit(0.0)))
     return bar.select(*keys, "time", "equity", F.col("_g").alias("period_ret_gross"), net.alias("period_ret_net"), (F.col("equity") - nav).alias("cumulative_pnl"))
 
 
 def curve_faults(curve: DataFrame, keys: list[str] = ["symbol"], rtol: float = 1e-9) -> DataFrame:
-    """keys, and how many rows break each rule of an equity curve: time order is the frame's own, so ties count as breaks."""
+    """keys, and how many rows break each rule of an equity curve: missing or not increasing times, equity that is missing, NaN or not
+    positive, a step that period_ret_net does not explain, gains that are not those since the first row.  Time order is the frame's own, so
+    ties count as breaks."""
     w = windows.over(keys, "time")
     before, start = F.lag("equity").over(w), F.first("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))
     due = before * (1 + F.col("period_ret_net"))
-    return curve.select(*keys, F.col("time") <= F.lag("time").over(w), F.col("equity") <= 0, F.abs(F.col("equity") - due) > rtol * F.abs(due), F.abs(F.col("cumulative_pnl") - (F.col("equity") - start)) > rtol * F.greatest(F.abs("cumulative_pnl"), F.lit(rtol))).toDF(*keys, "a", "b", "c", "d").groupBy(*keys).agg(F.count_if("a").alias("time_breaks"), F.count_if("b").alias("not_positive"), F.count_if("c").alias("recursion_breaks"), F.count_if("d").alias("pnl_breaks"))
+    bad = {
+        "time_breaks": F.col("time").isNull() | (F.col("time") <= F.lag("time").over(w)),
+        "not_positive": F.col("equity").isNull() | F.isnan("equity") | (F.col("equity") <= 0),
+        "recursion_breaks": F.abs(F.col("equity") - due) > rtol * F.abs(due),
+        "pnl_breaks": F.col("cumulative_pnl").isNull() | (F.abs(F.col("cumulative_pnl") - (F.col("equity") - start)) > rtol * F.greatest(F.abs("cumulative_pnl"), F.lit(rtol))),
+    }
+    return curve.select(*keys, *[c.alias(n) for n, c in bad.items()]).groupBy(*keys).agg(*[F.count_if(n).alias(n) for n in bad])
+
+
+def checked_curve(curve: DataFrame, keys: list[str] = ["run_id"]) -> DataFrame:
+    """curve, if it has exactly the persisted columns and types and no row breaks a rule; else ValueError names what does.  Empty curves pass."""
+    if [(f.name, f.dataType) for f in curve.schema] != [(f.name, f.dataType) for f in schemas.EQUITY_CURVE]:
+        raise ValueError(f"not the columns of an equity curve: {curve.schema.simpleString()}")
+    rules = curve_faults(curve, keys).columns[len(keys) :]
+    found = curve_faults(curve, keys).agg(*[F.sum(n).alias(n) for n in rules]).first().asDict()
+    if bad := {n: v for n, v in found.items() if v}:
+        raise ValueError(f"not an equity curve: {bad}")
+    return curve
 
 
 def always_on(klines: DataFrame, funding: DataFrame, capital: float = 1000.0, fee_bps: float = 10.0, keys: list[str] = ["symbol"]) -> DataFrame:
@@ -213,7 +243,7 @@ def always_on(klines: DataFrame, funding: DataFrame, capital: float = 1000.0, fe
     bars = assemble(klines, funding, keys)
     bars = bars.withColumn("funding_income", F.coalesce("funding_rate", F.lit(0.0)))
     bars = bars.withColumn("ret", F.col("spot_ret") - F.col("perp_ret") + 0.5 * F.col("funding_income"))
-    grown = F.exp(F.sum(F.log1p("ret")).over(windows.over(keys, "open_time").rowsBetween(Window.unboundedPreceding, 0)))
+    grown = 1 + windows.compounded(F.col("ret"), windows.over(keys, "open_time").rowsBetween(Window.unboundedPreceding, 0))
     return bars.withColumn("equity", F.lit(capital * (1 - fee_bps / 10000)) * grown)
 
 
@@ -228,4 +258,4 @@ def switched(bars: DataFrame, lookback: int, exit_at: float, reenter_at: float,
     w = windows.over(keys, "open_time")
     flip = (F.col("regime_state") != F.coalesce(F.lag("regime_state").over(w), F.lit(1))).cast("double")
     told = told.withColumn("ret", F.col("ret") * F.col("regime_state") - flip * (fee_bps / 10000 / 2))
-    return told.withColumn("equity", F.lit(capital * (1 - fee_bps / 10000)) * F.exp(F.sum(F.log1p("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_ma")
+    return told.withColumn("equity", F.lit(capital * (1 - fee_bps / 10000)) * (1 + windows.compounded(F.col("ret"), w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_ma")

@@ -48,6 +48,16 @@ def latest(df: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
     return df.withColumn("_nth", n).where("_nth = 1").drop("_nth")
 
 
+def compounded(ret: Column, w=None) -> Column:
+    """The product of 1 + ret, less 1: of a group, or over a window.  A loss of all and losses beyond it count with zero and their sign;
+    nulls are left out."""
+    over_ = (lambda c: c) if w is None else (lambda c: c.over(w))
+    size = F.when(ret > -1, F.log1p(ret)).when(ret < -1, F.ln(F.abs(1 + ret)))
+    lost, turned = over_(F.count_if(ret == -1)), over_(F.count_if(ret < -1))
+    sign = F.when(lost > 0, 0.0).when(turned % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(over_(F.count(ret)) > 0, sign * F.exp(F.coalesce(over_(F.sum(size)), F.lit(0.0))) - 1)
+
+
 def drawdown(equity: str, keys: list[str], order: str) -> Column:
     """equity relative to its running maximum, less 1; never above 0."""
     top = F.max(equity).over(over(keys, order).rowsBetween(Window.unboundedPreceding, 0))

@@ -149,14 +149,33 @@ def _(s, d):
     return shown(carry.contributions(costed(s, d)), "symbol time:t contrib_pnl:6 position_notional:6 weight_net:9")
 
 
-@query("equity_curve", f"WITH {E} SELECT symbol, {T.format('time')} AS time, round(equity, 6) AS equity, round(period_ret_gross, 10) AS period_ret_gross, round(r, 10) AS period_ret_net, round(cumulative_pnl, 6) AS cumulative_pnl FROM e")
+# The recursion itself, a bar at a time.
+ER = f"""{C},
+e0 AS (SELECT symbol, time, sum(weight * leg_ret) AS g, sum(fees + funding_paid + slippage) AS c, row_number() OVER (PARTITION BY symbol ORDER BY time) AS i FROM c GROUP BY symbol, time),
+e(symbol, time, i, equity, period_ret_gross, r) AS (
+  SELECT symbol, time, i, 1e3, 0e0, 0e0 FROM e0 WHERE i = 1
+  UNION ALL
+  SELECT n.symbol, n.time, n.i, e.equity * (1 + n.g - CASE WHEN e.equity > 0 THEN n.c / e.equity ELSE 0e0 END), n.g, n.g - CASE WHEN e.equity > 0 THEN n.c / e.equity ELSE 0e0 END FROM e JOIN e0 n ON n.symbol = e.symbol AND n.i = e.i + 1)"""
+
+
+@query("equity_curve", f"WITH RECURSIVE {ER} SELECT symbol, {T.format('time')} AS time, round(equity, 6) AS equity, round(period_ret_gross, 10) AS period_ret_gross, round(r, 10) AS period_ret_net, round(equity - 1e3, 6) AS cumulative_pnl FROM e")
 def _(s, d):
     return shown(curve(s, d), "symbol time:t equity:6 period_ret_gross:10 period_ret_net:10 cumulative_pnl:6")
 
 
-@query("equity_curve_faults", f"WITH {E} SELECT symbol, CAST(0 AS BIGINT) AS time_breaks, CAST(0 AS BIGINT) AS not_positive, CAST(0 AS BIGINT) AS recursion_breaks, CAST(0 AS BIGINT) AS pnl_breaks FROM e GROUP BY symbol")
+#: Rows of each curve that are spoilt, by their number.
+_SPOILT = "CASE WHEN i % 50 = 7 THEN -equity WHEN i % 50 = 9 THEN equity * 1.001 WHEN i % 70 = 11 THEN NULL ELSE equity END"
+
+
+@query(
+    "equity_curve_faults",
+    f"""WITH {E}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) AS i FROM e), s AS (SELECT symbol, time, i, r, CASE WHEN i % 90 = 13 THEN cumulative_pnl + 1 ELSE cumulative_pnl END AS pnl, {_SPOILT} AS q FROM n),
+f AS (SELECT *, lag(q) OVER w * (1 + r) AS due, first_value(q) OVER w AS q0 FROM s WINDOW w AS (PARTITION BY symbol ORDER BY time))
+SELECT symbol, CAST(0 AS BIGINT) AS time_breaks, count(*) FILTER (WHERE q IS NULL OR q <= 0) AS not_positive, count(*) FILTER (WHERE abs(q - due) > 1e-9 * abs(due)) AS recursion_breaks, count(*) FILTER (WHERE abs(pnl - (q - q0)) > 1e-9 * greatest(abs(pnl), 1e-9)) AS pnl_breaks FROM f GROUP BY symbol""",
+)
 def _(s, d):
-    return carry.curve_faults(curve(s, d))
+    n = curve(s, d).withColumn("i", F.row_number().over(windows.over(["symbol"], "time")))
+    return carry.curve_faults(n.withColumns({"equity": F.expr(_SPOILT), "cumulative_pnl": F.expr("CASE WHEN i % 90 = 13 THEN cumulative_pnl + 1 ELSE cumulative_pnl END")}))
 
 
 @query("transitions", f"WITH {S} SELECT symbol, count(*) FILTER (WHERE c) AS n_transitions FROM (SELECT symbol, regime_state <> lag(regime_state) OVER (PARTITION BY symbol ORDER BY open_time) AS c FROM s) GROUP BY symbol")
@@ -266,13 +285,7 @@ def _(s, d):
 
 @query("resample_daily", f"WITH {E}, x AS (SELECT symbol, date_trunc('day', time) AS day, arg_max(equity, time) AS equity, exp(sum(ln(1 + r))) - 1 AS ret FROM e GROUP BY 1, 2) SELECT symbol, {T.format('day')} AS day, round(equity, 6) AS equity, round(ret, 9) AS ret, round(equity - first_value(equity) OVER (PARTITION BY symbol ORDER BY day), 6) AS pnl FROM x")
 def _(s, d):
-    return shown(resampled(curve(s, d), "day"), "symbol day:t equity:6 ret:9 pnl:6")
-
-
-def resampled(c: DataFrame, unit: str, keys: list[str] = ["symbol"]) -> DataFrame:
-    """Curves by a longer period: the last equity, compounded returns, gains since the first period's equity."""
-    x = c.groupBy(*keys, F.date_trunc(unit, "time").alias(unit)).agg(F.max_by("equity", "time").alias("equity"), (F.exp(F.sum(F.log1p("period_ret_net"))) - 1).alias("ret"))
-    return x.withColumn("pnl", F.col("equity") - F.first("equity").over(windows.over(keys, unit)))
+    return shown(metrics.resampled(curve(s, d), "day"), "symbol day:t equity:6 ret:9 pnl:6")
 
 
 @query("window_sharpes", f"WITH {E}, t AS (SELECT *, max(time) OVER (PARTITION BY symbol) AS z FROM e), x AS (SELECT symbol, r, unnest(list_filter(['all', CASE WHEN time >= z - INTERVAL 10 DAY THEN 'last_10d' END, CASE WHEN time >= TIMESTAMP '2024-01-16' THEN 'post_cut' END], lambda v: v IS NOT NULL)) AS span FROM t) SELECT symbol, span, round({_SR}, 6) AS sharpe FROM x GROUP BY symbol, span")

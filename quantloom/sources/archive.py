@@ -1,7 +1,9 @@
 """The archive on disk: decoding raw rows, scans, audited upserts by year, audit files and small ledgers.
 
-Bars and funding lie under year=YYYY.  An upsert rewrites only the years that the new rows touch: the merged year is written beside the
-old one and takes its place by a rename, so a reader sees one or the other and a failed job leaves the old."""
+Bars and funding lie under year=YYYY/version=ID.  An upsert writes new versions of the years that the new rows touch, then the corrections,
+then a manifest that names the version of each year: making that file, which fails if another writer has made it, is the only step
+that a reader can see.  No folder is moved; the versions before are deleted when the next upsert has followed, so that readers of the
+manifest before still find their files."""
 
 from __future__ import annotations
 
@@ -75,11 +77,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def manifest(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """The number of the latest manifest and its years: year -> folder under root; 0 and the year folders themselves where there is none.  A
+    manifest cut short, by a writer that died, is none."""
+    fs, path = _fs(spark, root)
+    folder = path(f"{root}/_manifests")
+    names = sorted((s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json")), reverse=True) if fs.exists(folder) else []
+    for name in names:
+        stream = fs.open(path(f"{root}/_manifests/{name}"))
+        text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
+        stream.close()
+        try:
+            return int(names[0].split(".")[0]), json.loads(text)
+        except ValueError:
+            continue
+    years = [s.getPath().getName() for s in fs.listStatus(path(root)) if s.getPath().getName().startswith("year=")] if fs.exists(path(root)) else []
+    return int(names[0].split(".")[0]) if names else 0, {y.split("=")[1]: y for y in years}
+
+
 def load(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """All years of an archive; empty where there is none.  A filter on `year` prunes folders."""
-    if not _exists(spark, root):
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("year", T.IntegerType())]))
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])).parquet(root)
+    kinds = T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])
+    years = manifest(spark, root)[1]
+    if not years:
+        return spark.createDataFrame([], kinds)
+    return spark.read.schema(kinds).option("basePath", root).parquet(*[f"{root}/{v}" for v in sorted(years.values())]).select(*kinds.names)
 
 
 def bounds(archive: DataFrame, keys: list[str], when: str) -> DataFrame:
@@ -112,32 +134,67 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(spark: SparkSession, root: str, new: DataFrame, schema: T.StructType, keys: list[str], fields: list[str], when: str, audit: bool = True) -> int:
-    """Merge new into the archive, year by year; corrections of existing rows go beside it.  How many corrections there were."""
+    """Merge new into the archive, year by year; corrections of existing rows go beside it, before the merged rows can be seen.  How many
+    corrections there were.  Of two upserts at a time one raises FileExistsError and has changed nothing."""
+    root = root.rstrip("/")
     new = schemas.conform(new, schema).withColumn("year", F.year(when))
-    years = sorted(r["year"] for r in new.select("year").distinct().collect())
-    if not years:
+    touched = sorted(r["year"] for r in new.select("year").distinct().collect())
+    if not touched:
         return 0
-    old = load(spark, root, schema).where(F.col("year").isin(years))
-    found = corrections(old, new, keys, fields, when).checkpoint() if audit and spark.sparkContext.getCheckpointDir() else corrections(old, new, keys, fields, when).persist()
-    n = found.count() if audit else 0
-    stage = f"{root.rstrip('/')}__staging_{uuid.uuid4().hex[:8]}"
-    merged(old, new, keys).repartition("year").sortWithinPartitions(*keys).write.option("compression", "zstd").partitionBy("year").parquet(stage)
-    fs, path = _fs(spark, root)
-    for y in years:
-        place, fresh = path(f"{root}/year={y}"), path(f"{stage}/year={y}")
-        fs.mkdirs(place.getParent())
-        aside = path(f"{stage}/_old_{y}")
-        if fs.exists(place):
-            fs.rename(place, aside)
-        fs.rename(fresh, place)
-    fs.delete(path(stage), True)
-    if n:
-        stamp = found.agg(F.max(F.unix_micros("new_ingested_at"))).first()[0]
-        found.coalesce(1).write.mode("overwrite").parquet(f"{root}/_corrections/correction_{stamp}.parquet")
-    found.unpersist()
+    number, years = manifest(spark, root)
+    old = load(spark, root, schema).where(F.col("year").isin(touched))
+    n, version = 0, f"version={uuid.uuid4().hex[:12]}"
+    if audit:
+        found = corrections(old, new, keys, fields, when).persist()  # computed from versions that stay
+        if n := found.count():
+            stamp = found.agg(F.max(F.unix_micros("new_ingested_at"))).first()[0]
+            found.coalesce(1).write.mode("overwrite").parquet(f"{root}/_corrections/correction_{stamp}.parquet")
+        found.unpersist()
+    # A range for each task: a year may be many tasks' work, each of which writes one sorted file.
+    parts = merged(old, new, keys).repartitionByRange("year", *keys).sortWithinPartitions("year", *keys).persist()
+    try:
+        for y in touched:
+            parts.where(F.col("year") == y).drop("year").write.option("compression", "zstd").parquet(f"{root}/year={y}/{version}")
+    finally:
+        parts.unpersist()
+    _publish(spark, root, number + 1, years | {str(y): f"year={y}/{version}" for y in touched})
+    _sweep(spark, root, number, years)
     return n
 
 
+def _publish(spark: SparkSession, root: str, number: int, years: dict[str, str]) -> None:
+    fs, path = _fs(spark, root)
+    place = path(f"{root}/_manifests/{number:010d}.json")
+    try:
+        out = fs.create(place, False)
+    except Exception as e:
+        if "exist" not in str(e):
+            raise
+        raise FileExistsError(f"another upsert came first: {place}") from e
+    out.write(bytearray(json.dumps(years, sort_keys=True).encode()))
+    out.close()
+
+
+def _sweep(spark: SparkSession, root: str, number: int, before: dict[str, str]) -> None:
+    """Delete what neither the newest manifest nor the one before (`before`) names, of the versions that older manifests named."""
+    fs, path = _fs(spark, root)
+    keep = {*before.values(), *manifest(spark, root)[1].values()}
+    for status in fs.listStatus(path(f"{root}/_manifests")):
+        name = status.getPath().getName()
+        if not name.endswith(".json") or int(name.split(".")[0]) >= number:
+            continue
+        stream = fs.open(status.getPath())
+        text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
+        stream.close()
+        try:
+            for folder in json.loads(text).values():
+                if folder not in keep and "version=" in folder:
+                    fs.delete(path(f"{root}/{folder}"), True)
+        except ValueError:
+            pass
+        fs.delete(status.getPath(), False)
+
+
 def _fs(spark: SparkSession, root: str):
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path

@@ -27,14 +27,21 @@ class RateLimitError(ApiError):
 
 
 class Client:
-    """GET with retries: exponential waits up to a minute, or what Retry-After asks for."""
+    """GET with retries: exponential waits up to a minute, or what Retry-After asks for.  A transport that times out or loses its connection
+    (OSError, which TimeoutError and ConnectionError are) is tried again like a retryable status."""
 
     def __init__(self, transport: Transport, sleep: Callable[[float], None], tries: int = 5, base: float = 1.0, longest: float = 60.0) -> None:
         self.transport, self.sleep, self.tries, self.base, self.longest = transport, sleep, tries, base, longest
 
     def get(self, url: str, params: dict) -> object:
         for attempt in range(self.tries):
-            status, headers, body = self.transport(url, params)
+            try:
+                status, headers, body = self.transport(url, params)
+            except OSError as e:
+                if attempt + 1 == self.tries:
+                    raise ApiError(f"{type(e).__name__} after {self.tries} tries: {e}") from e
+                self.sleep(min(self.longest, self.base * 2**attempt))
+                continue
             if 200 <= status < 300:
                 return body
             if status == 418:

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators import windows
+
 # The kinds of events, and the halt priorities.
 KINDS = ("start", "stop", "settlement", "target", "order", "fill", "funding", "mark", "halt", "resume")
 PRIORITIES = ("P0", "P1", "P2", "P3", "P4", "P5")
@@ -38,7 +40,7 @@ def daily_reconcile(paper: DataFrame, backtest: DataFrame, corrected: DataFrame
     backtest on corrected data also what the corrections change.  Each: time, ret."""
 
     def daily(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(F.date_trunc("day", "time").alias("day")).agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias(name))
+        return df.groupBy(F.date_trunc("day", "time").alias("day")).agg(windows.compounded(F.col("ret")).alias(name))
 
     x = daily(paper, "a").join(daily(backtest, "b"), "day", "left")
     x = x.join(daily(corrected, "c"), "day", "left") if corrected is not None else x.withColumn("c", F.lit(None).cast("double"))

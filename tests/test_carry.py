@@ -130,3 +130,71 @@ def test_earlier_study(spark):
     assert always.orderBy(F.desc("open_time")).first()["equity"] == pytest.approx(want)
     out = carry.switched(always, 3, -1e-4, 5e-5)
     assert carry.transitions(out).first()["n_transitions"] == 1
+
+
+def plain_equity(rows, nav=1000.0):
+    out = []
+    for i, (g, c) in enumerate(rows):
+        e = out[-1] if out else nav
+        out.append(nav if i == 0 else e * (1 + g - (c / e if e > 0 else 0.0)))
+    return out
+
+
+def wiped(spark, series):
+    """One leg a bar whose weighted return is g and whose fees are c."""
+    rows = [(s, T0 + timedelta(hours=i), 1.0, float(g), float(c), 0.0, 0.0) for s, x in series.items() for i, (g, c) in enumerate(x)]
+    return spark.createDataFrame(rows, "symbol string, time timestamp, weight double, leg_ret double, fees double, funding_paid double, slippage double")
+
+
+def test_equity_of_wiped_out_books_is_the_recursion(spark):
+    series = {
+        "below": [(0, 1), (0.1, 1), (-1.2, 1), (0.05, 1), (-0.3, 1)], "nothing": [(0, 1), (0.1, 1), (-1.0, 0), (0.05, 1), (0.2, 1)], "costs": [(0, 1), (0.1, 1), (0.0, 2000), (0.05, 1), (-0.1, 3)],
+        "fine": [(0, 5), (0.1, 1), (-0.2, 1), (0.05, 2), (0, 0)], "minus": [(0, 0), (-1.0, 5), (0.1, 1), (0.1, 1), (0, 0)], "first": [(-2.0, 7), (0.1, 1), (-0.5, 1), (0.2, 1), (0.1, 1)],
+    }
+    got = {}
+    for r in carry.equity(wiped(spark, series)).orderBy("time").collect():
+        got.setdefault(r["symbol"], []).append(r)
+    for s, x in series.items():
+        want = plain_equity(x)
+        assert [r["equity"] for r in got[s]] == pytest.approx(want, rel=1e-10, abs=1e-12), s
+        assert all(b["equity"] == pytest.approx(a["equity"] * (1 + b["period_ret_net"]), abs=1e-9) for a, b in zip(got[s], got[s][1:])), s
+    faults = {r["symbol"]: r["not_positive"] for r in carry.curve_faults(carry.equity(wiped(spark, series))).collect()}
+    assert faults["fine"] == 0 and all(faults[s] for s in series if s not in ("fine", "first"))
+
+
+def test_compounding_counts_total_losses(spark):
+    from quantloom.functions import metrics
+    from quantloom.operators import windows
+
+    x = spark.createDataFrame([(k, i, float(r)) for k, rs in {"a": (0.1, -1.5, 0.2), "b": (0.1, -1.0, 0.2), "c": (0.1, 0.2), "d": (-1.5, -1.5)}.items() for i, r in enumerate(rs)], "k string, i int, r double")
+    got = {r["k"]: r["x"] for r in x.groupBy("k").agg(windows.compounded(F.col("r")).alias("x")).collect()}
+    assert got == pytest.approx({"a": 1.1 * -0.5 * 1.2 - 1, "b": -1.0, "c": 0.32, "d": -0.75})
+    with pytest.raises(ValueError, match="unit"):
+        metrics.resampled(x, "3fortnights")
+
+
+def test_resampling_units(spark):
+    from quantloom.functions import metrics
+
+    rows = [("A", T0 + timedelta(hours=i), 100.0 + i, 0.01) for i in range(24 * 9)]
+    c = spark.createDataFrame(rows, "symbol string, time timestamp, equity double, period_ret_net double")
+    four = metrics.resampled(c, "4h").orderBy("period").collect()
+    assert len(four) == 54 and four[0]["equity"] == 103.0 and four[1]["ret"] == pytest.approx(1.01**4 - 1) and four[1]["pnl"] == 4.0
+    week = metrics.resampled(c, "1w").orderBy("period").collect()
+    assert [r["period"].weekday() for r in week] == [0, 0] and metrics.resampled(c, "day").count() == 9
+
+
+def test_curve_contract(spark):
+    from quantloom import schemas
+
+    rows = [("r", T0 + timedelta(hours=i), 100.0 * 1.01**i, 0.01, 0.01 if i else 0.0, 100.0 * 1.01**i - 100) for i in range(5)]
+    kinds = schemas.EQUITY_CURVE
+    make = lambda rows: spark.createDataFrame(rows, kinds)
+    assert carry.checked_curve(make(rows)).count() == 5 and carry.checked_curve(make([])).count() == 0
+    spoilt = [rows[:2] + [(*rows[2][:2], v, *rows[2][3:])] + rows[3:] for v in (None, float("nan"), -1.0, 105.0)]
+    spoilt += [rows + [rows[-1]], rows[:3] + [("r", None, *rows[3][2:])], rows[:4] + [(*rows[4][:5], 1e6)]]
+    for bad in spoilt:
+        with pytest.raises(ValueError, match="not an equity curve"):
+            carry.checked_curve(make(bad))
+    with pytest.raises(ValueError, match="columns"):
+        carry.checked_curve(make(rows).withColumn("equity", F.col("equity").cast("float")))

@@ -62,6 +62,37 @@ def test_upsert(spark, tmp_path):
     assert archive.load(spark, str(tmp_path / "none"), schemas.KLINES).count() == 0
 
 
+def test_upsert_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    root, ms = str(tmp_path / "klines"), int(datetime(2025, 12, 31, 22, tzinfo=UTC).timestamp() * 1000)
+    archive.upsert_klines(spark, root, decoded(spark, [raw_bar(ms + i * HOUR) for i in range(4)]))
+    before = sorted(map(tuple, archive.load(spark, root, schemas.KLINES).collect()))
+    reader = archive.load(spark, root, schemas.KLINES)
+    later = decoded(spark, [raw_bar(ms, close="9")], T0 + timedelta(days=1))
+    with monkeypatch.context() as m:
+        m.setattr(archive, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            archive.upsert_klines(spark, root, later)
+    assert sorted(map(tuple, archive.load(spark, root, schemas.KLINES).collect())) == before
+    number, years = archive.manifest(spark, root)
+    archive.upsert_klines(spark, root, later)
+    with pytest.raises(FileExistsError):
+        archive._publish(spark, root, number + 1, years)
+    assert sorted(map(tuple, reader.collect())) == before  # planned before, still whole
+    assert max(r["close"] for r in archive.load(spark, root, schemas.KLINES).collect()) == 9.0
+    archive.upsert_klines(spark, root, decoded(spark, [raw_bar(ms, close="8")], T0 + timedelta(days=2)))
+    assert len(list((tmp_path / "klines" / "year=2025").iterdir())) <= 3 and archive.load(spark, root, schemas.KLINES).count() == 4
+    (tmp_path / "klines" / "_manifests" / "0000000099.json").write_text('{"2025": "ye')
+    assert archive.load(spark, root, schemas.KLINES).count() == 4
+
+
+def test_folders_without_a_manifest_are_read(spark, tmp_path):
+    bars = decoded(spark, [raw_bar(1_700_000_000_000)])
+    bars.withColumn("year", F.lit(2023)).write.partitionBy("year").parquet(root := str(tmp_path / "k"))
+    assert archive.load(spark, root, schemas.KLINES).count() == 1
+    archive.upsert_klines(spark, root, decoded(spark, [raw_bar(1_700_003_600_000)]))
+    assert archive.load(spark, root, schemas.KLINES).count() == 2
+
+
 def test_closed_bars(spark):
     now = T0 + timedelta(hours=1, minutes=30)
     ms = int(T0.timestamp() * 1000)
@@ -314,6 +345,19 @@ def test_stream_is_the_batch(spark, tmp_path):
                 assert got[s, t.replace(tzinfo=None)] == machine.step(fast, slow, p)
 
 
+def test_late_settlements_are_told(spark, tmp_path):
+    p = carry.RatchetParams(ma_lookback=2, compression_lookback=2, min_hold=1)
+    kinds = "symbol string, time timestamp, funding_rate double"
+    for k, hours in enumerate([[0, 16], [8, 24]]):
+        spark.createDataFrame([("A", T0 + timedelta(hours=h), 1e-4) for h in hours], kinds).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = paper.targets(stream, p).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r["time"].hour, r["time"].day, r["late"], r["regime_state"] is None) for r in spark.table("late").collect()} == {(0, 1, False, False), (16, 1, False, False), (8, 1, True, True), (0, 2, False, False)}
+
+
 def test_upsert_stream(spark, tmp_path):
     ms = int(T0.timestamp() * 1000)
     decoded(spark, [raw_bar(ms), raw_bar(ms + HOUR)]).coalesce(1).write.parquet(str(tmp_path / "in"))
