@@ -50,3 +50,19 @@ def stratify(curve: DataFrame, labels: DataFrame, keys: list[str], ppy: float, o
         metrics.hit_rate("period_ret_net").alias("hit_rate"),
     )
     return out.where("n_obs >= 2")
+
+
+def benchmark_returns(klines: DataFrame, symbol: str, start, end, every: str = "1d", market: str = "spot") -> DataFrame:
+    """time, ret: a symbol's bar returns in [start, end], both included, the first bar without one; "1d" compounds them by calendar day, "1h"
+    leaves them.  start and end have a zone; no bars in between are refused."""
+    if every not in ("1h", "1d"):
+        raise ValueError(f"1h or 1d, not {every}")
+    if start.tzinfo is None or end.tzinfo is None:
+        raise ValueError("start and end need a zone")
+    x = klines.where((F.col("symbol") == symbol) & (F.col("market") == market) & (F.col("open_time") >= F.lit(start)) & (F.col("open_time") <= F.lit(end)))
+    if not x.limit(1).count():
+        raise ValueError(f"no {market} bars of {symbol} from {start} to {end}")
+    x = x.select("symbol", F.col("open_time").alias("time"), windows.pct_change("close", ["symbol"], "open_time", None).alias("ret")).where("ret is not null")
+    if every == "1h":
+        return x.select("time", "ret")
+    return x.groupBy(F.date_trunc("day", "time").alias("time")).agg(windows.compounded(F.col("ret")).alias("ret"))

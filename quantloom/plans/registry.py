@@ -209,6 +209,21 @@ def oos_panel(curves: DataFrame) -> DataFrame:
     return out.select("alpha_id", "time", F.coalesce("ret", F.lit(0.0)).alias("oos_ret"), F.coalesce("active", F.lit(False)).alias("alpha_active"))
 
 
+def named_panel(runs: DataFrame, curves: DataFrame, names: list[str]) -> DataFrame:
+    """checked_panel of the latest validated, clean run of each named strategy; curves: run_id, time, period_ret_net.  A name twice, one
+    without such a run, and a run without a curve are refused; no names give an empty panel."""
+    if len(names) != len(set(names)):
+        raise ValueError(f"named twice: {sorted(n for n in set(names) if names.count(n) > 1)}")
+    chosen = validated(runs.where(F.col("strategy_id").isin(names)), {}).select(F.col("strategy_id").alias("alpha_id"), "run_id")
+    known = {r["alpha_id"] for r in chosen.collect()}  # as many as names at most
+    if absent := [n for n in names if n not in known]:
+        raise ValueError(f"no validated run: {absent}")
+    found = curves.join(F.broadcast(chosen), "run_id").select("alpha_id", "time", F.col("period_ret_net").alias("ret"), F.lit(True).alias("active"))
+    if empty := [n for n in names if n not in {r["alpha_id"] for r in found.select("alpha_id").distinct().collect()}]:
+        raise ValueError(f"no curve: {empty}")
+    return schemas.conform(checked_panel(found) if names else oos_panel(found), schemas.OOS_RETURNS_PANEL)
+
+
 def checked_panel(curves: DataFrame) -> DataFrame:
     """oos_panel of curves that all have the same period."""
     gaps = [r["gap_us"] for r in windows.modal_gap(curves, ["alpha_id"], "time").select("gap_us").distinct().collect()]
@@ -223,6 +238,25 @@ def verdict_column(dsr_lo: Column, pbo: Column, max_dd: Column) -> Column:
     return F.when(ok, "pass").otherwise("fail")
 
 
+def judged(runs: DataFrame, strata: DataFrame) -> DataFrame:
+    """run_id, verdict, blocking, missing of many runs at once, by the same gates as verdict().  runs: run_id, dsr_lo, pbo, max_dd; strata: run_id,
+    regime_kind, regime_label, sharpe."""
+    names = F.concat("regime_kind", F.lit(":"), "regime_label")
+    seen = strata.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct(names, "sharpe"))).alias("by"), F.collect_set(names).alias("there"))  # a run has seven regimes at most
+    x = runs.join(seen, "run_id", "left").withColumn("there", F.coalesce("there", F.array().cast("array<string>")))
+    clear = lambda c: F.coalesce(c, F.lit(False))
+    gates = [
+        F.when(~clear((F.col("dsr_lo") > GATE_DSR) & ~F.isnan("dsr_lo")), F.lit("dsr_ci_lower")), F.when(clear(F.col("pbo") > GATE_PBO), F.lit("pbo")),
+        F.when(~clear((F.col("max_dd") >= -GATE_MAX_DD) & ~F.isnan("max_dd")), F.lit("max_dd")),
+    ]
+    for kind, label in REGIME_GATES:
+        sr = F.col("by")[f"{kind}:{label}"]
+        gates.append(F.when(F.array_contains("there", f"{kind}:{label}") & ~clear((sr >= GATE_REGIME) & ~F.isnan(sr)), F.lit(f"regime_sharpe_negative:{label}")))
+    blocking = F.array_compact(F.array(*gates))
+    missing = F.array_compact(F.array(*[F.when(~F.array_contains("there", f"{k}:{n}"), F.lit(f"regime_absent:{n}")) for k, n in REGIME_GATES]))
+    return x.select("run_id", F.when(F.size(blocking) > 0, "fail").otherwise("pass").alias("verdict"), blocking.alias("blocking"), missing.alias("missing"))
+
+
 def verdict(metrics: dict, regimes: dict[tuple[str, str], float], dsr_lo: float, pbo: float | None) -> tuple[str, list[str], list[str]]:
     """pass or fail, what blocks, and what is only missing; regimes: (kind, label) -> Sharpe."""
     blocking, missing = [], []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -84,23 +85,44 @@ def _persist(a: Artifacts, run_id: str, strategy: str, root: str) -> None:
         archive.replace_run(out, f"{root}/backtests/{name}")
 
 
+def _write_header(spark: SparkSession, a: Artifacts, run_id: str, strategy: str, variant: str, p, universe: list[str], archive_state: dict, root: str) -> None:
+    """One row about the run; writing it again replaces it.  Times are null for an empty curve."""
+    seen = a.curve.agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("n_bars"))
+    fixed = {
+        "run_id": run_id, "strategy_id": strategy, "variant": variant, "params_json": R.params_json(p.as_dict()), "params_hash": R.params_hash(p.as_dict()), "universe_json": json.dumps(universe),
+        "data_version": archive_state["data_version"], "archive_max_kline_time": archive_state.get("archive_max_kline_time"), "qc_audit_run_ts": archive_state.get("qc_audit_run_ts"), "engine_version": CODE_VERSION,
+    }
+    out = seen.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("computed_at", F.current_timestamp())
+    archive.replace_run(schemas.conform(out, schemas.BACKTEST_RESULT).withColumn("strategy", F.lit(strategy)), f"{root}/backtests/result")
+
+
+def read_run(spark: SparkSession, root: str, run_id: str, table: str = "equity") -> DataFrame:
+    """What a run has persisted: its equity, leg, contrib or result rows; empty for a run that has none."""
+    schema = {"equity": schemas.EQUITY_CURVE, "leg": schemas.BACKTEST_LEG, "contrib": schemas.PER_SYMBOL_CONTRIB, "result": schemas.BACKTEST_RESULT}[table]
+    if not archive._exists(spark, path := f"{root}/backtests/{table}"):
+        return spark.createDataFrame([], schema)
+    return schemas.conform(spark.read.parquet(path).where(F.col("run") == run_id), schema)
+
+
 def run(
     spark: SparkSession, symbol: str, variant: str, p: carry.CarryParams | carry.RatchetParams, *, klines: DataFrame, funding: DataFrame, benchmark: DataFrame, root: str, archive_state: dict,
     adv: DataFrame | None = None, strategy: str | None = None, fee_tier: str = "regular", slippage=carry.zero_slippage, split: str = "full", n_bootstrap: int = 1000, pbo: float | None = None,
-    plan: Callable[..., Artifacts] = backtest,
+    plan: Callable[..., Artifacts] = backtest, state: str | Path | None = None,
 ) -> Report:
-    """A run of one symbol.  benchmark: time, ret for the regimes.  A failure marks the run failed and is raised again; fewer than two
+    """A run of one symbol.  benchmark: time, ret for the regimes.  root: a folder of any file system that Spark writes; state: the driver's
+    folder of the ledgers, needed where root is not a local one.  A failure marks the run failed and is raised again; fewer than two
     bars are validated as a fail for want of data and are not logged as a trial."""
     strategy = strategy or f"carry_{variant}_{symbol}"
-    ledger = R.Registry(Path(root) / "state")
+    if state is None and "://" in root and not root.startswith("file://"):
+        raise ValueError("root is not a local folder: say where the ledgers lie (state)")
+    ledger = R.Registry(Path(state) if state else Path(root.removeprefix("file://")) / "state")
     run_id = ledger.register(strategy, variant, p.as_dict(), archive_state)
     try:
         a = plan(klines.where(F.col("symbol") == symbol), funding.where(F.col("symbol") == symbol), p, fee_tier=fee_tier, slippage=slippage)
         a = Artifacts(a.bars, a.legs.persist(), a.contrib, a.curve.persist())
-        faults = carry.curve_faults(a.curve).first()
-        if faults and any(v for n, v in faults.asDict().items() if n != "symbol"):
-            raise ValueError(f"not an equity curve: {faults.asDict()}")
+        carry.checked_curve(schemas.conform(a.curve.withColumn("run_id", F.lit(run_id)), schemas.EQUITY_CURVE))
         _persist(a, run_id, strategy, root)
+        _write_header(spark, a, run_id, strategy, variant, p, [symbol], archive_state, root)
     except Exception:
         ledger.transition(run_id, schemas.RUNNING, schemas.FAILED)
         raise

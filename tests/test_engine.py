@@ -199,6 +199,15 @@ def plain_pbo(m, s):
     return len(bad), float(np.mean(bad))
 
 
+def test_pbo_of_more_partitions(spark):
+    m = np.random.default_rng(1).normal(0, 0.01, (60, 8))
+    long = spark.createDataFrame([(i, k, float(m[i, k])) for i in range(60) for k in range(8)], "i long, trial_id long, ret double")
+    row = overfit.probability(overfit.splits(long, 18, largest=None)).first()
+    assert (row["n_splits"], pytest.approx(row["pbo"])) == plain_pbo(m, 18)
+    with pytest.raises(ValueError):
+        overfit.splits(long, 32, largest=None)
+
+
 @pytest.mark.parametrize(("t", "n", "s"), [(120, 9, 6), (97, 12, 8)])
 def test_pbo_is_the_loop(spark, t, n, s):
     m = np.random.default_rng(t).normal(0, 0.01, (t, n))
@@ -279,3 +288,78 @@ def test_baskets(spark):
     r = crosssection.baskets(p).first()
     assert r["price_ret"] == pytest.approx(0.5 * (0.01 - 0.08)) and r["funding_ret"] == pytest.approx(0.5 * (0.008 - 0.001)) and r["n_eligible"] == 10
     assert crosssection.baskets(p.where("signal > 0")).first()["ret"] == 0.0
+
+
+def test_benchmark_returns(spark):
+    t0 = datetime(2026, 1, 1, tzinfo=UTC)
+    rows = [("A", "spot", t0 + timedelta(hours=i), 100.0 * 1.01**i) for i in range(49)] + [("A", "perp_usdt", t0, 5.0)]
+    k = spark.createDataFrame(rows, "symbol string, market string, open_time timestamp, close double")
+    hourly = regimes.benchmark_returns(k, "A", t0, t0 + timedelta(hours=48), "1h").collect()
+    assert len(hourly) == 48 and hourly[0]["ret"] == pytest.approx(0.01)
+    daily = [r["ret"] for r in regimes.benchmark_returns(k, "A", t0, t0 + timedelta(hours=47)).orderBy("time").collect()]
+    assert daily == pytest.approx([1.01**23 - 1, 1.01**24 - 1])
+    for bad in (("A", t0.replace(tzinfo=None), t0, "1d"), ("A", t0, t0, "1w"), ("B", t0, t0, "1d")):
+        with pytest.raises(ValueError):
+            regimes.benchmark_returns(k, *bad)
+
+
+def test_many_verdicts_are_the_single_ones(spark):
+    from quantloom.plans import registry as R
+
+    rng, runs, strata = random.Random(7), [], []
+    values = [None, float("nan"), -0.1, 0.0, 0.4, 0.6]
+    for i in range(120):
+        runs.append((f"r{i}", rng.choice(values), rng.choice([None, 0.4, 0.6]), rng.choice([None, float("nan"), -0.1, -0.4])))
+        strata += [(f"r{i}", k, n, rng.choice(values[1:])) for k, n in R.REGIME_GATES if rng.random() < 0.8]
+    got = {r["run_id"]: r for r in R.judged(spark.createDataFrame(runs, "run_id string, dsr_lo double, pbo double, max_dd double"), spark.createDataFrame(strata, "run_id string, regime_kind string, regime_label string, sharpe double")).collect()}
+    for run, lo, pbo, dd in runs:
+        verdict, blocking, missing = R.verdict({"max_dd": dd}, {(k, n): s for r, k, n, s in strata if r == run}, float("nan") if lo is None else lo, pbo)
+        assert (got[run]["verdict"], got[run]["missing"], [b.split("=")[0] for b in got[run]["blocking"]]) == (verdict, missing, [b.split("=")[0].split(" ")[0] if not b.startswith("regime") else b.split("=")[0] for b in blocking]), run
+
+
+def test_panel_of_named_runs(spark):
+    from quantloom.plans import registry as R
+
+    t0 = datetime(2026, 1, 1, tzinfo=UTC)
+    runs = spark.createDataFrame([("r1", "a", "validated", "clean", t0), ("r2", "a", "validated", "clean", t0 + timedelta(1)), ("r3", "b", "validated", "clean", t0), ("r4", "c", "failed", "clean", t0), ("r5", "d", "validated", "clean", t0)], "run_id string, strategy_id string, status string, corrections_diff_status string, registered_at timestamp").withColumn("metrics_summary_json", F.lit("{}"))
+    curves = spark.createDataFrame([(r, t0 + timedelta(hours=i), float(i)) for r, n in (("r1", 9), ("r2", 3), ("r3", 4)) for i in range(n)], "run_id string, time timestamp, period_ret_net double")
+    out = R.named_panel(runs, curves, ["a", "b"]).collect()
+    assert len(out) == 8 and sum(r["alpha_active"] for r in out) == 7 and R.named_panel(runs, curves, []).count() == 0
+    for bad, what in ((["a", "a"], "twice"), (["c"], "no validated"), (["zz"], "no validated"), (["d"], "no curve")):
+        with pytest.raises(ValueError, match=what):
+            R.named_panel(runs, curves, bad)
+
+
+def test_families_and_sweeps(spark):
+    from quantloom.operators import carry
+    from quantloom.plans import family
+
+    rng, t0, rows = random.Random(4), datetime(2026, 1, 1, tzinfo=UTC), []
+    for s in "AB":
+        for i in range(24 * 12):
+            rows.append((s, t0 + timedelta(hours=i), rng.gauss(0, 0.002), rng.gauss(0, 0.002), rng.gauss(1e-5, 3e-5) if i % 8 == 0 else None))
+    bars = spark.createDataFrame(rows, "symbol string, open_time timestamp, spot_ret double, perp_ret double, funding_rate double")
+    base = carry.hysteresis(bars, carry.CarryParams(ma_lookback=3))
+    spans = {"cut": "2026-01-05", "long": timedelta(days=6), "short": timedelta(days=2)}
+    trials = family.tied_grid(bars, [1e-6, 4e-6], [4, 6], carry.RatchetParams(ma_lookback=2, min_hold=1))
+    assert [(r["compression_exit"], r["compression_reentry"], r["compression_lookback"]) for r in trials.orderBy("trial_id").collect()] == [(1e-6, 2e-6, 4), (1e-6, 2e-6, 6), (4e-6, 8e-6, 4), (4e-6, 8e-6, 6)]
+    found = family.swept(bars, trials, base, **spans).collect()
+    floor = {r["symbol"]: r for r in family.summary(base, ["symbol"], **spans).collect()}
+    for r in found:
+        assert r["dominance"] == sum(r[n] >= floor[r["symbol"]][n] - 0.05 for n in family.WINDOWS)
+    for s in "AB":
+        mine = [r for r in found if r["symbol"] == s]
+        order = sorted(mine, key=lambda r: (-r["dominance"], -r["post_sharpe"], r["trial_id"]))
+        assert [r["place"] for r in order] == [1, 2, 3, 4]
+        gap = {r["compression_lookback"]: r["gap"] for r in family.flatness(spark.createDataFrame(found)).where(F.col("symbol") == s).collect()}
+        for n in (4, 6):
+            x = [r["post_sharpe"] for r in mine if r["compression_lookback"] == n]
+            assert gap[n] == pytest.approx(max(x) - min(x))
+    both = family.compared({"v2": base, "v3": carry.ratchet(bars, trials.where("trial_id = 0"))}, **spans).collect()
+    assert {(r["variant"], r["symbol"]) for r in both} == {(v, s) for v in ("v2", "v3") for s in "AB"}
+    for r in both:
+        if r["variant"] == "v2":
+            assert r["full_sharpe"] == pytest.approx(floor[r["symbol"]]["full_sharpe"]) and r["n_transitions"] == floor[r["symbol"]]["n_transitions"]
+    for r in family.gated(spark.createDataFrame(both)).collect():
+        assert r["clears"] == (min(r["full_sharpe"], r["long_sharpe"], r["post_sharpe"]) >= 0 and r["max_dd"] >= -0.3)
+    assert family.trial_returns(bars, trials, "A").count() == 4 * 288 and family.recommendation(3) == "candidate"

@@ -268,6 +268,11 @@ def test_run_end_to_end(spark, tmp_path, params):
     k, f, b = market(spark)
     adv = spark.createDataFrame([("A", 1e9)], "symbol string, adv double")
     out = runner.run(spark, "A", "v2", params, klines=k, funding=f, benchmark=b, root=str(tmp_path), archive_state=STATE, adv=adv, n_bootstrap=30)
+    header = runner.read_run(spark, str(tmp_path), out.run_id, "result").collect()
+    assert len(header) == 1 and header[0]["n_bars"] == runner.read_run(spark, str(tmp_path), out.run_id).count() > 0 and json.loads(header[0]["universe_json"]) == ["A"]
+    assert runner.read_run(spark, str(tmp_path), "none").count() == 0 and runner.read_run(spark, str(tmp_path / "no"), out.run_id).count() == 0
+    with pytest.raises(ValueError, match="ledgers"):
+        runner.run(spark, "A", "v2", params, klines=k, funding=f, benchmark=b, root="hdfs://host/x", archive_state=STATE)
     row = registry.Registry(tmp_path / "state").get(out.run_id)
     assert row["status"] == "validated" and row["verdict"] == out.verdict and out.metrics["n_obs"] == 336
     assert "regime_absent:pre_etf" in out.warnings and out.metrics["periods_per_year"] == 8760 and out.metrics["capacity_estimate_usd"] > 0
@@ -345,6 +350,20 @@ def test_stream_is_the_batch(spark, tmp_path):
                 assert got[s, t.replace(tzinfo=None)] == machine.step(fast, slow, p)
 
 
+def test_transport_errors_are_retried():
+    waits, left = [], [TimeoutError("slow"), ConnectionResetError("gone")]
+
+    def transport(url, params):
+        if left:
+            raise left.pop(0)
+        return 200, {}, "body"
+
+    assert exchange.Client(transport, waits.append).get("u", {}) == "body" and waits == [1.0, 2.0]
+    left += [TimeoutError("slow")] * 9
+    with pytest.raises(exchange.ApiError):
+        exchange.Client(transport, waits.append, tries=3).get("u", {})
+
+
 def test_late_settlements_are_told(spark, tmp_path):
     p = carry.RatchetParams(ma_lookback=2, compression_lookback=2, min_hold=1)
     kinds = "symbol string, time timestamp, funding_rate double"
