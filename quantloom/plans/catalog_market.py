@@ -169,9 +169,9 @@ _SPOILT = "CASE WHEN i % 50 = 7 THEN -equity WHEN i % 50 = 9 THEN equity * 1.001
 
 @query(
     "equity_curve_faults",
-    f"""WITH {E}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) AS i FROM e), s AS (SELECT symbol, time, i, r, CASE WHEN i % 90 = 13 THEN cumulative_pnl + 1 ELSE cumulative_pnl END AS pnl, {_SPOILT} AS q FROM n),
-f AS (SELECT *, lag(q) OVER w * (1 + r) AS due, first_value(q) OVER w AS q0 FROM s WINDOW w AS (PARTITION BY symbol ORDER BY time))
-SELECT symbol, CAST(0 AS BIGINT) AS time_breaks, count(*) FILTER (WHERE q IS NULL OR q <= 0) AS not_positive, count(*) FILTER (WHERE abs(q - due) > 1e-9 * abs(due)) AS recursion_breaks, count(*) FILTER (WHERE abs(pnl - (q - q0)) > 1e-9 * greatest(abs(pnl), 1e-9)) AS pnl_breaks FROM f GROUP BY symbol""",
+    f"""WITH {E}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) AS i FROM e), sp AS (SELECT symbol, time, i, r, CASE WHEN i % 90 = 13 THEN cumulative_pnl + 1 ELSE cumulative_pnl END AS pnl, {_SPOILT} AS q FROM n),
+ff AS (SELECT *, lag(q) OVER w * (1 + r) AS due, first_value(q) OVER w AS q0 FROM sp WINDOW w AS (PARTITION BY symbol ORDER BY time))
+SELECT symbol, CAST(0 AS BIGINT) AS time_breaks, count(*) FILTER (WHERE q IS NULL OR q <= 0) AS not_positive, count(*) FILTER (WHERE abs(q - due) > 1e-9 * abs(due)) AS recursion_breaks, count(*) FILTER (WHERE abs(pnl - (q - q0)) > 1e-9 * greatest(abs(pnl), 1e-9)) AS pnl_breaks FROM ff GROUP BY symbol""",
 )
 def _(s, d):
     n = curve(s, d).withColumn("i", F.row_number().over(windows.over(["symbol"], "time")))
