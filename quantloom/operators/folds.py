@@ -1,4 +1,5 @@
-"""Cross-validation folds as rows: (fold_id, i, time, role).  Folds are few; each is broadcast to the series and matched by range."""
+"""Cross-validation folds as rows: (fold_id, i, time, role).  The folds of a row follow from its time, or from its number, so each row is
+expanded by exactly the folds that it is in; nothing is matched by range."""
 
 from __future__ import annotations
 
@@ -8,9 +9,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stretches of time in which rows are numbered apart.
+STRETCHES = 256
+
+
 def indexed(series: DataFrame, time: str = "time") -> DataFrame:
-    """i, time: positions from 0.  One series; a global order is the point here."""
-    return series.select(F.col(time).alias("time")).withColumn("i", F.row_number().over(Window.orderBy("time")).cast("long") - 1)
+    """i, time: positions from 0 in time order.  Rows are numbered within stretches of equal length; how many come before each stretch is a
+    sum over STRETCHES counts, so no task orders the whole series."""
+    x = series.select(F.col(time).alias("time")).withColumn("_t", F.unix_micros("time"))
+    ends = x.agg(F.min("_t").alias("a"), F.max("_t").alias("b")).first()
+    if ends["a"] is None:
+        return x.select(F.lit(0).cast("long").alias("i"), "time").where("false").select("time", "i")
+    x = x.withColumn("_s", F.expr(f"(_t - {ends['a']}) div {(ends['b'] - ends['a']) // STRETCHES + 1}"))
+    before = x.groupBy("_s").agg(F.count("*").alias("_n")).select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_0"))
+    nth = F.row_number().over(Window.partitionBy("_s").orderBy("_t"))
+    return x.withColumn("_i", nth).join(F.broadcast(before), "_s").select("time", (F.col("_i") - 1 + F.col("_0")).cast("long").alias("i"))  # STRETCHES rows
 
 
 def _us(d: timedelta) -> int:
@@ -28,7 +41,7 @@ def purged(series: DataFrame, n_splits: int, embargo: timedelta) -> DataFrame:
         raise ValueError("fewer rows than splits")
     x = x.withColumn("block", F.least(F.floor(F.col("i") / (n // n_splits)), F.lit(n_splits - 1)))
     bounds = x.groupBy(F.col("block").alias("fold_id")).agg(F.min("time").alias("a"), F.max("time").alias("b"))
-    met = x.crossJoin(F.broadcast(bounds))  # n_splits rows
+    met = x.withColumn("fold_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_splits - 1).cast("long")))).join(F.broadcast(bounds), "fold_id")  # n_splits rows
     gap = F.expr(f"timestamp_micros(unix_micros(a) - {_us(embargo)})"), F.expr(f"timestamp_micros(unix_micros(b) + {_us(embargo)})")
     role = F.when(F.col("block") == F.col("fold_id"), "test").when((F.col("time") < gap[0]) | (F.col("time") > gap[1]), "train")
     return met.select("fold_id", "i", "time", role.alias("role")).where("role is not null")
@@ -37,17 +50,22 @@ def purged(series: DataFrame, n_splits: int, embargo: timedelta) -> DataFrame:
 def _stepped(series: DataFrame, train: timedelta | None, test: timedelta, step: timedelta, min_train: timedelta) -> DataFrame:
     if min(test, step, min_train, train or test) <= timedelta(0):
         raise ValueError("spans must be positive")
-    x = indexed(series)
-    ends = x.agg(F.min(F.unix_micros("time")).alias("t0"), F.max(F.unix_micros("time")).alias("t1"))
-    cuts = ends.select("t0", F.posexplode(F.expr(f"case when t0 + {_us(min_train)} <= t1 then sequence(t0 + {_us(min_train)}, t1, {_us(step)}) else array() end")).alias("k", "te"))
-    start = F.greatest(F.col("t0"), F.col("te") - _us(train)) if train else F.col("t0")
-    met = x.withColumn("t", F.unix_micros("time")).crossJoin(F.broadcast(cuts.withColumn("ts", start)))
-    role = F.when((F.col("t") >= F.col("ts")) & (F.col("t") < F.col("te")), "train").when((F.col("t") >= F.col("te")) & (F.col("t") < F.col("te") + _us(test)), "test")
-    met = met.select("k", "i", "time", role.alias("role")).where("role is not null")
+    x = indexed(series).withColumn("t", F.unix_micros("time"))
+    ends = x.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    if ends["a"] is None or ends["a"] + _us(min_train) > ends["b"]:
+        return x.select(F.lit(0).cast("long").alias("fold_id"), "i", "time", F.lit("").alias("role")).where("false")
+    base, by = ends["a"] + _us(min_train), _us(step)
+    last = (ends["b"] - base) // by  # the number of the last cut
+    # Cut k lies at base + k * step: the row is tested by the cuts in (t - test, t], and trains those after t (by t + train at most).
+    upto = lambda shift: F.floor((F.col("t") - base + shift).cast("decimal(20,0)") / by)
+    here = upto(0)
+    ranges = [("test", upto(-_us(test)) + 1, here), ("train", here + 1, upto(_us(train)) if train else F.lit(last))]
+    each = F.array(*[F.struct(F.lit(role).alias("role"), F.greatest(a.cast("long"), F.lit(0).cast("long")).alias("a"), F.least(b.cast("long"), F.lit(last).cast("long")).alias("b")) for role, a, b in ranges])
+    met = x.select("i", "time", F.inline(each)).where("a <= b").select(F.explode(F.sequence("a", "b")).alias("k"), "i", "time", "role")
     # Folds without a test or a train row are not counted.
     whole = met.groupBy("k").agg(F.countDistinct("role").alias("roles")).where("roles = 2")
     whole = whole.select("k", (F.row_number().over(Window.orderBy("k")) - 1).cast("long").alias("fold_id"))
-    return met.join(F.broadcast(whole), "k").select("fold_id", "i", "time", "role")
+    return met.join(whole, "k").select("fold_id", "i", "time", "role")
 
 
 def walk_forward(series: DataFrame, train: timedelta, test: timedelta, step: timedelta, min_train: timedelta) -> DataFrame:

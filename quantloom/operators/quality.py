@@ -1,6 +1,6 @@
 """The data-quality suite: fourteen checks on bars, funding and the universe, as rows (name, passed, severity, symbol, market, tier, n).
 
-The checks share three grouped passes (bars by series, bars by symbol and hour, funding by symbol) instead of a job each."""
+Checks of single rows share one pass over each table (suite); those that compare rows group them as they need."""
 
 from __future__ import annotations
 
@@ -16,6 +16,13 @@ BASIS_FAIL = {"majors": 0.10, "small_caps": 0.25}
 MAJORS, STALE_RUN, RATE_WARN, RATE_FAIL = 10, 24, 0.005, 0.02
 HOUR_US = 3_600_000_000
 
+#: What is wrong with a single bar or settlement.
+OHLC_FAULT = "high < greatest(open, close) or low > least(open, close) or high < low"
+NEGATIVE = "volume < 0 or quote_volume < 0 or trades < 0"
+PARTIAL = "close_time >= ingested_at"
+MISALIGNED = f"pmod(unix_micros(funding_time), {8 * HOUR_US}) <> 0"
+RATE_OVER_WARN, RATE_OVER_FAIL = f"abs(funding_rate) > {RATE_WARN}", f"abs(funding_rate) > {RATE_FAIL}"
+
 
 def tier(rank: Column) -> Column:
     return F.when(rank <= MAJORS, "majors").otherwise("small_caps")
@@ -53,12 +60,11 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ohlc_faults(bars: DataFrame) -> DataFrame:
-    bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("high") < F.col("low"))
-    return bars.agg(F.count_if(bad).alias("n"))
+    return bars.agg(F.count_if(F.expr(OHLC_FAULT)).alias("n"))
 
 
 def negatives(bars: DataFrame) -> DataFrame:
-    return bars.agg(F.count_if((F.col("volume") < 0) | (F.col("quote_volume") < 0) | (F.col("trades") < 0)).alias("n"))
+    return bars.agg(F.count_if(F.expr(NEGATIVE)).alias("n"))
 
 
 def stale_runs(bars: DataFrame, least: int = STALE_RUN) -> DataFrame:
@@ -70,7 +76,7 @@ def stale_runs(bars: DataFrame, least: int = STALE_RUN) -> DataFrame:
 def extremes(bars: DataFrame, tiers: DataFrame) -> DataFrame:
     """symbol, market, n: bars whose log move exceeds the tier's threshold.  tiers: symbol, tier."""
     move = F.abs(F.ln(F.col("close") / F.col("open"))) > by_tier(EXTREME, F.col("tier"))
-    return bars.join(F.broadcast(tiers), "symbol").where("open > 0 and close > 0").groupBy("symbol", "market").agg(F.count_if(move).alias("n"))
+    return bars.join(tiers, "symbol").where("open > 0 and close > 0").groupBy("symbol", "market").agg(F.count_if(move).alias("n"))
 
 
 def basis(bars: DataFrame, tiers: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def basis(bars: DataFrame, tiers: DataFrame) -> DataFrame:
 
     Both markets meet in one aggregation; a symbol without common hours is INFO."""
     side = {m: F.max(F.when(F.col("market") == m, F.col("close"))) for m in ("spot", "perp_usdt")}
-    x = bars.groupBy("symbol", "open_time").agg(side["spot"].alias("s"), side["perp_usdt"].alias("p")).join(F.broadcast(tiers), "symbol")
+    x = bars.groupBy("symbol", "open_time").agg(side["spot"].alias("s"), side["perp_usdt"].alias("p")).join(tiers, "symbol")
     off = F.abs(F.col("p") - F.col("s")) / F.col("s")
     out = x.groupBy("symbol").agg(
         F.count_if(off.isNotNull()).alias("n_bars"),
@@ -89,17 +95,16 @@ def basis(bars: DataFrame, tiers: DataFrame) -> DataFrame:
 
 
 def partial_bars(bars: DataFrame) -> DataFrame:
-    return bars.agg(F.count_if(F.col("close_time") >= F.col("ingested_at")).alias("n"))
+    return bars.agg(F.count_if(F.expr(PARTIAL)).alias("n"))
 
 
 def misaligned(funding: DataFrame) -> DataFrame:
     """n: settlements off 00:00, 08:00 and 16:00 sharp."""
-    return funding.agg(F.count_if(F.pmod(F.unix_micros("funding_time"), F.lit(8 * HOUR_US)) != 0).alias("n"))
+    return funding.agg(F.count_if(F.expr(MISALIGNED)).alias("n"))
 
 
 def rate_range(funding: DataFrame) -> DataFrame:
-    r = F.abs("funding_rate")
-    return funding.agg(F.count_if(r > RATE_WARN).alias("n_warn"), F.count_if(r > RATE_FAIL).alias("n_fail"))
+    return funding.agg(F.count_if(F.expr(RATE_OVER_WARN)).alias("n_warn"), F.count_if(F.expr(RATE_OVER_FAIL)).alias("n_fail"))
 
 
 def uncovered_settlements(funding: DataFrame, bars: DataFrame) -> DataFrame:
@@ -123,26 +128,28 @@ def _row(df: DataFrame, name: str, severity: Column, details: list[str], symbol:
 
 
 def suite(bars: DataFrame, funding: DataFrame, universe: DataFrame, listings: DataFrame) -> DataFrame:
-    """All checks.  universe: symbol, rank, spot_pairs; listings: symbol, market, listing (perp_funding for funding)."""
+    """All checks.  universe: symbol, rank, spot_pairs; listings: symbol, market, listing (perp_funding for funding).
+
+    Checks of single bars and of single settlements are counted in one pass over each table, and stacked from its row; only the checks
+    that compare rows (coverage, duplicates, runs, extremes by tier, basis, settlements in bars) have passes of their own."""
     tiers = universe.select("symbol", tier(F.col("rank")).alias("tier"))
     n = F.col("n")
     k1 = coverage(bars, listings.where("market <> 'perp_funding'"), ["symbol", "market"], "open_time", 1, 0.999, 0.99)
     f2 = coverage(funding, listings.where("market = 'perp_funding'").select("symbol", "listing"), ["symbol"], "funding_time", 8, 0.9995, 0.99)
+    one_bar = _stacked(bars, {"K3_ohlc": (("n",), (OHLC_FAULT,)), "K4_non_negative": (("n",), (NEGATIVE,)), "K8_partial_bar": (("n",), (PARTIAL,))}, {})
+    one_rate = _stacked(funding, {"F1_alignment": (("n",), (MISALIGNED,)), "F3_rate_range": (("n_warn", "n_fail"), (RATE_OVER_WARN, RATE_OVER_FAIL))}, {"F3_rate_range": ("n_fail", "n_warn")})
     found = [
         _row(k1, "K1_coverage", F.col("severity"), ["n", "expected", "share"], "symbol", "market"),
         _row(extremes(bars, tiers), "K6_extreme_returns", count_severity(F.lit(0), n), ["n"], "symbol", "market"),
         _row(basis(bars, tiers), "K7_spot_perp_basis", F.col("severity"), ["n_bars", "n_warn", "n_fail"], "symbol"),
         _row(f2, "F2_funding_coverage", F.col("severity"), ["n", "expected", "share"], "symbol"),
         _row(duplicates(bars, ["symbol", "market", "open_time"]), "K2_duplicates", count_severity(n), ["n"]),
-        _row(ohlc_faults(bars), "K3_ohlc", count_severity(n), ["n"]),
-        _row(negatives(bars), "K4_non_negative", count_severity(n), ["n"]),
         _row(stale_runs(bars).agg(F.count("*").alias("n")), "K5_stale", count_severity(F.lit(0), n), ["n"]),
-        _row(partial_bars(bars), "K8_partial_bar", count_severity(n), ["n"]),
-        _row(misaligned(funding), "F1_alignment", count_severity(n), ["n"]),
-        _row(rate_range(funding), "F3_rate_range", count_severity(F.col("n_fail"), F.col("n_warn")), ["n_warn", "n_fail"]),
         _row(duplicates(funding, ["symbol", "funding_time"]), "F4_duplicates", count_severity(n), ["n"]),
         _row(missing_legs(universe, bars).agg(F.count_if(~F.col("passed")).alias("n")), "C1_universe_legs", count_severity(n), ["n"]),
         _row(uncovered_settlements(funding, bars).agg(F.coalesce(F.sum("n_bad"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("settlements")), "X1_funding_in_bar", count_severity(n), ["n", "settlements"]),
+        one_bar,
+        one_rate,
     ]
     out = found[0]
     for f in found[1:]:
@@ -150,6 +157,18 @@ def suite(bars: DataFrame, funding: DataFrame, universe: DataFrame, listings: Da
     return out
 
 
+def _stacked(df: DataFrame, checks: dict[str, tuple], severities: dict[str, tuple]) -> DataFrame:
+    """Rows of _row for checks that count rows: name -> (names of counts, conditions), in one aggregation of the whole table."""
+    counted = df.agg(*[F.count_if(F.expr(c)).alias(f"{name}_{label}") for name, (labels, conditions) in checks.items() for label, c in zip(labels, conditions, strict=True)])
+    none, rows = F.lit(None).cast("string"), []
+    for name, (labels, _) in checks.items():
+        at = {label: F.col(f"{name}_{label}") for label in labels}
+        severity = count_severity(*[at[x] for x in severities.get(name, labels)])
+        details = F.to_json(F.struct(*[c.alias(label) for label, c in at.items()]))
+        rows.append(F.struct(F.lit(name).alias("name"), (severity != "ERROR").alias("passed"), severity.alias("severity"), none.alias("symbol"), none.alias("market"), details.alias("details_json")))
+    return counted.select(F.inline(F.array(*rows)))
+
+
 def rollup(results: DataFrame) -> DataFrame:
     """severity, n, n_series: how many results, and how many distinct series, of each severity."""
     return results.groupBy("severity").agg(F.count("*").alias("n"), F.countDistinct(F.struct(F.coalesce("symbol", F.lit("")), F.coalesce("market", F.lit("")))).alias("n_series"))

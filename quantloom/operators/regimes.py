@@ -27,7 +27,7 @@ def classify(returns: DataFrame, keys: list[str], ret: str = "ret", vol_window:
     dev = windows.rolling(F.stddev_samp, F.col(ret), keys, "time", vol_window, shifted=True)
     total = windows.rolling(F.sum, F.col(ret), keys, "time", trend_window, shifted=True)
     told = returns.select(*keys, "time", F.round(dev, 12).alias("_vol"), F.round(total, 12).alias("_trend"))
-    told = told.join(F.broadcast(nearest_rank(told, "_vol", keys, [LOW_Q, HIGH_Q])), keys, "left")  # one row for each series
+    told = told.join(nearest_rank(told, "_vol", keys, [LOW_Q, HIGH_Q]), keys, "left")
     vol = F.when(F.col("_vol") <= F.col("q_0"), "low").when(F.col("_vol") <= F.col("q_1"), "mid").when(F.col("_vol").isNotNull(), "high")
     trend = F.when(F.col("_trend") > 0, "bull").when(F.col("_trend").isNotNull(), "bear")
     etf = F.when(F.col("time") < F.lit(cut).cast("timestamp"), "pre_etf").otherwise("post_etf")

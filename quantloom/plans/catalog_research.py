@@ -121,7 +121,36 @@ def _(s, d):
     return quality.missing_legs(members(s, d), A.klines(s, d))
 
 
-@query("qc_suite")
+def _suite_sql() -> str:
+    """All checks on the tables as they are, by series and then over all."""
+    text = lambda **at: " || ".join(f"'{'{' if i == 0 else ','}\"{k}\":' || {v}" for i, (k, v) in enumerate(at.items())) + " || '}'"
+    row = lambda name, severity, details, source, symbol="NULL", market="NULL": f"SELECT '{name}' AS name, {severity} <> 'ERROR' AS passed, {severity} AS severity, {symbol} AS symbol, {market} AS market, {details} AS details_json FROM {source}"
+    error, warn = "CASE WHEN n > 0 THEN 'ERROR' ELSE 'INFO' END", "CASE WHEN n > 0 THEN 'WARN' ELSE 'INFO' END"
+    both = "CASE WHEN n_fail > 0 THEN 'ERROR' WHEN n_warn > 0 THEN 'WARN' ELSE 'INFO' END"
+    grid = "(SELECT *, round(n / expected, 9) AS share FROM (SELECT symbol, {m} count(*) AS n, CAST((epoch_us(max({t})) - epoch_us({a})) // {h} + 1 AS BIGINT) AS expected FROM {f} GROUP BY ALL))"
+    count = lambda condition, table: f"(SELECT count(*) FILTER (WHERE {condition}) AS n FROM {table})"
+    more = lambda table, keys: f"(SELECT count(*) AS n FROM (SELECT 1 FROM {table} GROUP BY {keys} HAVING count(*) > 1))"
+    n = text(n="n")
+    parts = [
+        row("K1_coverage", _COV.format(0.999, 0.99), text(n="n", expected="expected", share="share"), grid.format(m="market,", t="open_time", a=LISTED, h=3600000000, f="k"), "symbol", "market"),
+        row("F2_funding_coverage", _COV.format(0.9995, 0.99), text(n="n", expected="expected", share="share"), grid.format(m="", t="funding_time", a=f"greatest({LISTED}, min(funding_time))", h=28800000000, f="f"), "symbol"),
+        row("K6_extreme_returns", warn, n, "(SELECT symbol, market, count(*) FILTER (WHERE abs(ln(close / open)) > CASE tier WHEN 'majors' THEN 0.2 ELSE 0.5 END) AS n FROM k JOIN tr USING (symbol) GROUP BY symbol, market)", "symbol", "market"),
+        row("K7_spot_perp_basis", both, text(n_bars="n_bars", n_warn="n_warn", n_fail="n_fail"), "(SELECT symbol, count(*) AS n_bars, count(*) FILTER (WHERE o > CASE tier WHEN 'majors' THEN 0.02 ELSE 0.1 END) AS n_warn, count(*) FILTER (WHERE o > CASE tier WHEN 'majors' THEN 0.1 ELSE 0.25 END) AS n_fail FROM (SELECT symbol, abs(perp_close - spot_close) / spot_close AS o FROM b) JOIN tr USING (symbol) GROUP BY symbol)", "symbol"),
+        row("K2_duplicates", error, n, more("k", "symbol, market, open_time")),
+        row("F4_duplicates", error, n, more("f", "symbol, funding_time")),
+        row("K3_ohlc", error, n, count("high < greatest(open, close) OR low > least(open, close) OR high < low", "k")),
+        row("K4_non_negative", error, n, count("volume < 0 OR quote_volume < 0 OR trades < 0", "k")),
+        row("K5_stale", warn, n, "(SELECT count(*) AS n FROM (SELECT symbol, market, run FROM (SELECT *, sum(c) OVER (PARTITION BY symbol, market ORDER BY open_time ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN flat = lag(flat) OVER (PARTITION BY symbol, market ORDER BY open_time) THEN 0 ELSE 1 END AS c FROM (SELECT *, open = high AND high = low AND low = close AND volume = 0 AS flat FROM k))) WHERE flat GROUP BY ALL HAVING count(*) >= 24))"),
+        row("K8_partial_bar", error, n, count("close_time >= ingested_at", "k")),
+        row("F1_alignment", error, n, count("epoch_us(funding_time) % 28800000000 <> 0", "f")),
+        row("F3_rate_range", both, text(n_warn="n_warn", n_fail="n_fail"), "(SELECT count(*) FILTER (WHERE abs(funding_rate) > 0.005) AS n_warn, count(*) FILTER (WHERE abs(funding_rate) > 0.02) AS n_fail FROM f)"),
+        row("C1_universe_legs", error, n, "(SELECT count(*) AS n FROM (SELECT symbol FROM k GROUP BY symbol HAVING count(*) FILTER (WHERE market = 'spot') = 0 OR count(*) FILTER (WHERE market = 'perp_usdt') = 0))"),
+        row("X1_funding_in_bar", error, text(n="n", settlements="m"), f"(SELECT sum(n_bad)::BIGINT AS n, sum(n)::BIGINT AS m FROM ({_X1}))"),
+    ]
+    return f"WITH {B}, {TIERS} " + "\nUNION ALL ".join(parts)
+
+
+@query("qc_suite", _suite_sql())
 def _(s, d):
     return quality.suite(A.klines(s, d), A.funding(s, d), members(s, d), listings(s, d))
 

@@ -203,8 +203,8 @@ def oos_panel(curves: DataFrame) -> DataFrame:
     """alpha_id, time, oos_ret, alpha_active: every strategy at every time that any has; 0 and inactive where it has none.
 
     curves: alpha_id, time, ret, active.  The strategies are a short list, so each time is expanded by it in place."""
-    names = curves.select("alpha_id").distinct().agg(F.collect_set("alpha_id").alias("ids"))
-    grid = curves.select("time").distinct().crossJoin(F.broadcast(names)).select("time", F.explode("ids").alias("alpha_id"))
+    names = sorted(r["alpha_id"] for r in curves.select("alpha_id").distinct().collect())
+    grid = curves.select("time").distinct().select("time", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("alpha_id"))
     out = grid.join(curves, ["alpha_id", "time"], "left")
     return out.select("alpha_id", "time", F.coalesce("ret", F.lit(0.0)).alias("oos_ret"), F.coalesce("active", F.lit(False)).alias("alpha_active"))
 
@@ -218,7 +218,7 @@ def named_panel(runs: DataFrame, curves: DataFrame, names: list[str]) -> DataFra
     known = {r["alpha_id"] for r in chosen.collect()}  # as many as names at most
     if absent := [n for n in names if n not in known]:
         raise ValueError(f"no validated run: {absent}")
-    found = curves.join(F.broadcast(chosen), "run_id").select("alpha_id", "time", F.col("period_ret_net").alias("ret"), F.lit(True).alias("active"))
+    found = curves.join(chosen, "run_id").select("alpha_id", "time", F.col("period_ret_net").alias("ret"), F.lit(True).alias("active"))
     if empty := [n for n in names if n not in {r["alpha_id"] for r in found.select("alpha_id").distinct().collect()}]:
         raise ValueError(f"no curve: {empty}")
     return schemas.conform(checked_panel(found) if names else oos_panel(found), schemas.OOS_RETURNS_PANEL)
