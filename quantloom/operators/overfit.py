@@ -7,6 +7,7 @@ trial: 12,870 a trial at S = 16, 2.7 million at S = 24."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -76,6 +77,21 @@ def grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(rows, f"trial_id long, {kinds}")
 
 
+def enumerated(spark: SparkSession, strategy: Callable[..., Sequence[float]], values: dict[str, list]) -> tuple[list[dict], DataFrame]:
+    """The parameter sets of a grid and i, trial_id, ret of what a callable returns for each: for strategies that only exist as code on the
+    driver.  Empty grids, returns that are no series and series of different lengths are refused."""
+    if not values or not all(values.values()):
+        raise ValueError("an empty grid")
+    sets, rows, length = [dict(zip(values, combo, strict=True)) for combo in product(*values.values())], [], None
+    for k, params in enumerate(sets):
+        series = [float(r) for r in strategy(**params)]
+        if length is not None and len(series) != length:
+            raise ValueError(f"{len(series)} returns for {params}, {length} before")
+        length = len(series)
+        rows += [(i, k, r) for i, r in enumerate(series)]
+    return sets, spark.createDataFrame(rows, "i long, trial_id long, ret double")
+
+
 def ranked_trials(graded: DataFrame) -> DataFrame:
     """Trials by how many of the baseline's windows they beat or nearly beat (within 0.05), then by the ratio after the cut, then by id;
     graded: trial_id, dominance, post_sharpe."""

@@ -157,18 +157,43 @@ def suite(bars: DataFrame, funding: DataFrame, universe: DataFrame, listings: Da
     return out
 
 
-def _stacked(df: DataFrame, checks: dict[str, tuple], severities: dict[str, tuple]) -> DataFrame:
+def _stacked(df: DataFrame, checks: dict[str, tuple], severities: dict[str, tuple], warns: frozenset | set = frozenset()) -> DataFrame:
     """Rows of _row for checks that count rows: name -> (names of counts, conditions), in one aggregation of the whole table."""
     counted = df.agg(*[F.count_if(F.expr(c)).alias(f"{name}_{label}") for name, (labels, conditions) in checks.items() for label, c in zip(labels, conditions, strict=True)])
     none, rows = F.lit(None).cast("string"), []
     for name, (labels, _) in checks.items():
         at = {label: F.col(f"{name}_{label}") for label in labels}
-        severity = count_severity(*[at[x] for x in severities.get(name, labels)])
+        counts = [at[x] for x in severities.get(name, labels)]
+        severity = count_severity(F.lit(0), *counts) if name in warns else count_severity(*counts)
         details = F.to_json(F.struct(*[c.alias(label) for label, c in at.items()]))
         rows.append(F.struct(F.lit(name).alias("name"), (severity != "ERROR").alias("passed"), severity.alias("severity"), none.alias("symbol"), none.alias("market"), details.alias("details_json")))
     return counted.select(F.inline(F.array(*rows)))
 
 
+def earlier_suite(bars: DataFrame, funding: DataFrame, listings: DataFrame, move: float = 0.20) -> DataFrame:
+    """The checks of the earlier study: no tiers, one threshold for extreme moves over all bars, no basis, partial bars or universe; an empty
+    table has no results but funding's missing series."""
+    n = F.col("n")
+    k1 = coverage(bars, listings.where("market <> 'perp_funding'"), ["symbol", "market"], "open_time", 1, 0.999, 0.99)
+    f2 = coverage(funding, listings.where("market = 'perp_usdt'").select("symbol", "listing"), ["symbol"], "funding_time", 8, 0.9995, 0.99)
+    one_bar = _stacked(bars, {"K3_ohlc": (("n",), (OHLC_FAULT,)), "K4_non_negative": (("n",), (NEGATIVE,)), "K6_extreme_returns": (("n",), (f"open > 0 and close > 0 and abs(ln(close / open)) > {move}",))}, {}, warns={"K6_extreme_returns"})
+    one_rate = _stacked(funding, {"F1_alignment": (("n",), (MISALIGNED,)), "F3_rate_range": (("n_warn", "n_fail"), (RATE_OVER_WARN, RATE_OVER_FAIL))}, {"F3_rate_range": ("n_fail", "n_warn")})
+    found = [
+        _row(k1, "K1_coverage", F.col("severity"), ["n", "expected", "share"], "symbol", "market"),
+        _row(f2, "F2_funding_coverage", F.col("severity"), ["n", "expected", "share"], "symbol"),
+        _row(duplicates(bars, ["symbol", "market", "open_time"]), "K2_duplicates", count_severity(n), ["n"]),
+        _row(stale_runs(bars).agg(F.count("*").alias("n")), "K5_stale", count_severity(F.lit(0), n), ["n"]),
+        _row(duplicates(funding, ["symbol", "funding_time"]), "F4_duplicates", count_severity(n), ["n"]),
+        _row(uncovered_settlements(funding, bars).agg(F.coalesce(F.sum("n_bad"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("settlements")), "X1_funding_in_bar", count_severity(n), ["n", "settlements"]),
+        one_bar,
+        one_rate,
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def rollup(results: DataFrame) -> DataFrame:
     """severity, n, n_series: how many results, and how many distinct series, of each severity."""
     return results.groupBy("severity").agg(F.count("*").alias("n"), F.countDistinct(F.struct(F.coalesce("symbol", F.lit("")), F.coalesce("market", F.lit("")))).alias("n_series"))

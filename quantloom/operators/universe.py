@@ -90,3 +90,33 @@ def canonical(api_symbol: Column, base: Column) -> Column:
 
 def api(symbol: Column) -> Column:
     return F.replace(symbol, F.lit("-"), F.lit(""))
+
+
+# The assets of the curated universes, in order of rank, and the days that each asks a listing to have.
+CURATED = ["BTC", "ETH", "SOL", "BNB", "XRP", "DOGE", "ADA", "AVAX", "LINK", "DOT", "MATIC", "UNI", "LTC", "ATOM", "TRX"]
+CURATED_WIDE = [*CURATED, "ORDI", "1000LUNC", "1000PEPE", "TAO", "HYPE", "BIO"]
+CURATED_DAYS, CURATED_WIDE_DAYS = 730, 365
+
+
+def curated(tickers: DataFrame, listings: DataFrame, spot: DataFrame, wide: bool = False, bases: list[str] | None = None, quote: str = "USDT") -> DataFrame:
+    """rank (the place in the list), base_asset, api_symbol, symbol, quote_volume, last_price, trades, avg_trade_size, listing_date, spot_pairs,
+    primary_spot_quote_volume, total_candidates, min_listing_days_threshold: a stated list of assets instead of a ranking.
+
+    Assets without a ticker or without a listing date are left out and keep their rank free; the threshold is a label.  tickers: api_symbol,
+    quote_volume, last_price, trades; listings: api_symbol, listing_date; spot: base_asset, pair, volume."""
+    names = bases or (CURATED_WIDE if wide else CURATED)
+    ranked = tickers.sparkSession.createDataFrame([(i, b, f"{b}{quote}") for i, b in enumerate(names, 1)], "rank int, base_asset string, api_symbol string")
+    x = ranked.join(tickers.select("api_symbol", "quote_volume", "last_price", "trades"), "api_symbol").join(listings.where("listing_date is not null").select("api_symbol", "listing_date"), "api_symbol")
+    x = x.withColumns({
+        "symbol": canonical(F.col("api_symbol"), F.col("base_asset")), "avg_trade_size": F.when(F.col("trades") > 0, F.col("quote_volume") / F.col("trades")).otherwise(0.0),
+        "total_candidates": F.lit(len(names)), "min_listing_days_threshold": F.lit(CURATED_WIDE_DAYS if wide else CURATED_DAYS),
+    })
+    return with_spot(x, spot)
+
+
+def observed_listings(probed: DataFrame, bars: DataFrame, hours: float = 1.0, keys: list[str] = ["symbol", "market"]) -> DataFrame:
+    """keys, listing (the first archived bar; the probed date where there is none), diverged (whether the two are further apart than that)."""
+    first = bars.groupBy(*keys).agg(F.min("open_time").alias("_first"))
+    x = probed.join(first, keys, "full_outer")
+    apart = F.abs(F.unix_micros("_first") - F.unix_micros("listing")) > int(hours * 3_600_000_000)
+    return x.select(*keys, F.coalesce("_first", "listing").alias("listing"), F.coalesce(apart, F.lit(False)).alias("diverged"))

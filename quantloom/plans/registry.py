@@ -35,10 +35,34 @@ class TrialMismatchError(RuntimeError):
     """A trial was logged before with another result."""
 
 
+class AmbiguousPeriodicityError(ValueError):
+    """A curve without one most frequent period."""
+
+
 class FrequencyMismatchError(ValueError):
     """Curves of different periods cannot share a panel."""
 
 
+#: What is left of a backtest's Sharpe ratio ahead: a decision of sizing, which no gate reads.
+HAIRCUT = (0.30, 0.50)
+
+
+def forward_sharpe(sharpe: float | None) -> tuple[float, float] | None:
+    """The span in which a backtest's ratio is expected to lie ahead; the smaller first, also of a negative one."""
+    return None if sharpe is None else tuple(sorted((sharpe * HAIRCUT[0], sharpe * HAIRCUT[1])))
+
+
+def alpha_document(runs: pd.DataFrame, caveats: dict[str, list[str]] | None = None) -> dict:
+    """A record for each strategy's latest validated run: status, gates, what is expected ahead, and stated caveats.  For people to read and keep."""
+    out = {}
+    for r in runs[runs["status"] == schemas.VALIDATED].sort_values("registered_at").to_dict("records"):
+        m = json.loads(r["metrics_summary_json"]) if isinstance(r["metrics_summary_json"], str) else {}
+        notes = (caveats or {}).get(r["strategy_id"], [])
+        status = "fail" if r["verdict"] != "pass" else "pass-with-caveats" if notes else "pass"
+        out[r["strategy_id"]] = {"run_id": r["run_id"], "variant": r["variant"], "status": status, "data_version": r["data_version"], "metrics": m, "forward_sharpe": forward_sharpe(m.get("sharpe")), "caveats": notes}
+    return out
+
+
 # --- canonical parameters -----------------------------------------------------------------------------------------------------------------
 
 

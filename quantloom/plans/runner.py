@@ -142,7 +142,7 @@ def _grade(spark, a, ledger, run_id, strategy, p, benchmark, archive_state, adv,
         return Report(run_id, "fail", {"n_obs": n}, blocking=["insufficient_data"])
     gap = windows.modal_gap(a.curve, ["symbol"], "time").first()["gap_us"]
     if gap is None:
-        raise ValueError("the curve's period is ambiguous")
+        raise R.AmbiguousPeriodicityError("the curve's period is ambiguous")
     ppy = YEAR_US / gap
     found = graded(a, ppy, adv)
     ledger.log_trial(strategy, p.as_dict(), data_version=archive_state["data_version"], split=split, realized_sharpe=float("nan") if found["sharpe"] is None else found["sharpe"], n_obs=n)

@@ -33,6 +33,14 @@ class Client:
     def __init__(self, transport: Transport, sleep: Callable[[float], None], tries: int = 5, base: float = 1.0, longest: float = 60.0) -> None:
         self.transport, self.sleep, self.tries, self.base, self.longest = transport, sleep, tries, base, longest
 
+    def __enter__(self) -> Client:
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        """Closes the transport, if it can be closed."""
+        if close := getattr(self.transport, "close", None):
+            close()
+
     def get(self, url: str, params: dict) -> object:
         for attempt in range(self.tries):
             try:
@@ -54,6 +62,16 @@ class Client:
         raise (RateLimitError if status == 429 else ApiError)(f"{status} after {self.tries} tries")
 
 
+class EarlierClient(Client):
+    """The earlier study's client, which knows no rate limits: a ban is an error like any other."""
+
+    def get(self, url: str, params: dict) -> object:
+        try:
+            return super().get(url, params)
+        except RateLimitError as e:
+            raise ApiError(str(e)) from e
+
+
 def endpoint(market: str) -> str:
     if market not in ENDPOINTS:
         raise ValueError(f"unknown market: {market}")
