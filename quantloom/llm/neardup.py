@@ -258,9 +258,11 @@ def open_pairs(posted: DataFrame, prefix: DataFrame, lists: DataFrame, comp: Dat
     sizes of their sets and by the shingles that no other node of such lists has; once each."""
     comp = sent(comp, 48)
     now = posted.join(lists.where("members > 2").select("key", "hub"), "key").where("nid <> hub").select("key", "nid")
-    now = now.join(comp, "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp"))
-    open_keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    now = common.settled(now.join(sent(open_keys, 32), "key", "left_semi"))
+    # Written between the joins by key and the sums by key, so that a long list is summed in parts before it meets in one task.
+    wide = common.settled(now.join(comp, "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp")))
+    open_keys = wide.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    now = common.settled(wide.join(sent(open_keys, 32), "key", "left_semi"))
+    common.dropped(wide)
     each = sets.join(sent(now.select("nid").distinct(), 32), "nid", "left_semi").select("nid", F.explode("shingles").alias("shingle"))
     own = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("nid").alias("nid")).where("df = 1").withColumn("bucket", _bucket("shingle"))
     own = own.groupBy("nid").agg(F.count("*").alias("alone"), F.array(*[F.count_if(F.col("bucket") == i) for i in range(BUCKETS)]).alias("own"))
