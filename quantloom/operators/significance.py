@@ -12,7 +12,9 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quantloom.functions import metrics
 from quantloom.session import shipped
 
 EULER = 0.5772156649015329
@@ -60,6 +62,14 @@ def from_returns(x: np.ndarray, n_trials: int) -> float:
         return deflated_sharpe(float(x.mean() / x.std(ddof=1)), n_trials=n_trials, n_obs=n, skew=float(skew), kurt_excess=float(kurt))
 
 
+def deflated(returns: DataFrame, ret: str, keys: list[str], n_trials: int) -> DataFrame:
+    """keys, dsr of every series in one aggregation: from_returns() as columns; null where it is undefined."""
+    x = returns.groupBy(*keys).agg(metrics.sharpe(ret, 1.0).alias("sr"), F.count(metrics.clean(ret)).alias("n"), metrics.skew(ret).alias("sk"), metrics.kurtosis(ret).alias("ku"))
+    se = metrics.standard_error(*map(F.col, ("sr", "n", "sk", "ku")))
+    z = x.select(*keys, F.when(F.col("n") >= 4, F.col("sr") / se - expected_max_sharpe(n_trials)).alias("z"))
+    return z.select(*keys, metrics.normal_cdf(F.col("z")).alias("dsr"))
+
+
 def seed(run_id: str, salt: str, replicate: int | None = None) -> int:
     """64 bits of a digest of the run, the use and, for distributed draws, the replicate."""
     text = f"{run_id}:{salt}" if replicate is None else f"{run_id}:{salt}:{replicate}"

@@ -427,7 +427,11 @@ def _(s, d):
     return s.createDataFrame([(found["b_b"], found["b_c"])], "b_b double, b_c double").select(F.round("b_b", 7).alias("b_b"), F.round("b_c", 7).alias("b_c"))
 
 
-@query("thesis_verdict")
+@query(
+    "thesis_verdict",
+    f"""WITH {_W}, {_AL}, m AS (SELECT regr_slope(a, c) AS beta, regr_r2(a, c) AS r2 FROM al), g AS (SELECT any_value(r2) AS r2, coalesce(avg(a - beta * c) / stddev_samp(a - beta * c) * sqrt(52e0), 0) AS sr FROM al CROSS JOIN m)
+SELECT CASE WHEN sr >= 0.5 AND r2 < 0.5 THEN 'PROCEED' WHEN sr < 0.3 OR r2 > 0.7 THEN 'KILL' ELSE 'AMBIGUOUS' END AS verdict FROM g""",
+)
 def _(s, d):
     x = aligned(s, d)
     one = crosssection.ols(x, "a", ["c"])
