@@ -38,17 +38,17 @@ def momentum_signal(panel: DataFrame, weeks: int = 2) -> DataFrame:
     return panel.withColumn("signal", F.round(-windows.rolling(F.avg, F.col("ret"), ["symbol"], "week", weeks, shifted=True), 12))
 
 
-def baskets(panel: DataFrame, share: float = SHARE, least: int = LEAST_ELIGIBLE) -> DataFrame:
-    """week, n_eligible, price_ret, funding_ret, ret: half long the symbols of the lowest signals, half short those of the highest, by
+def baskets(panel: DataFrame, share: float = SHARE, least: int = LEAST_ELIGIBLE, keys: list[str] = []) -> DataFrame:
+    """keys, week, n_eligible, price_ret, funding_ret, ret: half long the symbols of the lowest signals, half short those of the highest, by
     week; ties by symbol; weeks with too few symbols return 0.  A week's cross-section is one window partition."""
-    w = Window.partitionBy("week")
+    w = Window.partitionBy(*keys, "week")
     x = panel.where("signal is not null and ret is not null")
     x = x.withColumns({"n": F.count("*").over(w), "lo": F.row_number().over(w.orderBy("signal", "symbol"))})
     x = x.withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") * share)))
     long, short = F.col("lo") <= F.col("k"), F.col("lo") > F.col("n") - F.col("k")
     mean = lambda side, v: F.avg(F.when(side, F.col(v)))
     enough = F.max("n") >= least
-    out = x.groupBy("week").agg(
+    out = x.groupBy(*keys, "week").agg(
         F.max("n").alias("n_eligible"),
         F.when(enough, 0.5 * (mean(long, "ret") - mean(short, "ret"))).otherwise(0.0).alias("price_ret"),
         F.when(enough, 0.5 * (mean(short, "fund_sum") - mean(long, "fund_sum"))).otherwise(0.0).alias("funding_ret"),
@@ -56,6 +56,27 @@ def baskets(panel: DataFrame, share: float = SHARE, least: int = LEAST_ELIGIBLE)
     return out.withColumn("ret", F.col("price_ret") + F.col("funding_ret"))
 
 
+def aligned(panel: DataFrame) -> DataFrame:
+    """week, a, b, c of the weeks that have all three: the returns of the funding and of the momentum baskets, and the mean of all symbols.
+    Both signals are ranked in one pass, as two kinds of rows."""
+    both = momentum_signal(funding_signal(panel).withColumnRenamed("signal", "_a"))
+    kinds = F.array(F.struct(F.lit("a").alias("kind"), F.col("_a").alias("signal")), F.struct(F.lit("b").alias("kind"), F.col("signal")))
+    found = baskets(both.select("symbol", "week", "ret", "fund_sum", F.inline(kinds)), keys=["kind"])
+    side = found.groupBy("week").agg(*[F.max(F.when(F.col("kind") == k, F.col("ret"))).alias(k) for k in "ab"]).where("a is not null and b is not null")
+    return side.join(panel.groupBy("week").agg(F.avg("ret").alias("c")), "week")
+
+
+def residual(df: DataFrame, y: str, x: str, periods: float) -> tuple[float, float]:
+    """The yearly Sharpe ratio of y less its beta to x, and R2 of y on x: from the moments of one aggregation.  0 where there is no ratio."""
+    full = df.dropna(subset=[y, x])
+    m = full.agg(*[f(*c).alias(n) for n, f, c in (("my", F.avg, [y]), ("mx", F.avg, [x]), ("vy", F.var_samp, [y]), ("vx", F.var_samp, [x]), ("c", F.covar_samp, [y, x]))]).first()
+    if not m["vx"] or not m["vy"]:
+        return 0.0, float("nan")
+    beta = m["c"] / m["vx"]
+    left = m["vy"] - beta * m["c"]
+    return ((m["my"] - beta * m["mx"]) / left**0.5 * periods**0.5 if left > 0 else 0.0), beta * m["c"] / m["vy"]
+
+
 def ols(df: DataFrame, y: str, xs: list[str]) -> dict[str, float]:
     """Coefficients, standard errors, t and R2 of y on xs and a constant: moments in one aggregation, a tiny system on the driver."""
     terms = {"_1": F.lit(1.0), **{x: F.col(x) for x in xs}, "_y": F.col(y)}

@@ -399,10 +399,7 @@ _AL = f"""fs AS (SELECT * FROM (WITH {_FS}, {_BK} SELECT week, price_ret + fundi
 
 
 def aligned(s, d):
-    p = panel(s, d)
-    f = crosssection.baskets(crosssection.funding_signal(p)).select("week", F.col("ret").alias("a"))
-    m = crosssection.baskets(crosssection.momentum_signal(p)).select("week", F.col("ret").alias("b"))
-    return f.join(m, "week").join(p.groupBy("week").agg(F.avg("ret").alias("c")), "week")
+    return crosssection.aligned(panel(s, d))
 
 
 @query("aligned_returns", f"WITH {_W}, {_AL} SELECT {T.format('week')} AS week, round(a, 9) AS a, round(b, 9) AS b, round(c, 9) AS c FROM al")
@@ -433,11 +430,8 @@ def _(s, d):
 SELECT CASE WHEN sr >= 0.5 AND r2 < 0.5 THEN 'PROCEED' WHEN sr < 0.3 OR r2 > 0.7 THEN 'KILL' ELSE 'AMBIGUOUS' END AS verdict FROM g""",
 )
 def _(s, d):
-    x = aligned(s, d)
-    one = crosssection.ols(x, "a", ["c"])
-    left = x.withColumn("resid", F.col("a") - one["b_c"] * F.col("c"))
-    ratio = left.agg(metrics.sharpe("resid", 52.0).alias("s")).first()["s"]
-    return s.createDataFrame([(crosssection.verdict(ratio or 0.0, one["r2"]),)], "verdict string")
+    ratio, r2 = crosssection.residual(aligned(s, d), "a", "c", 52.0)
+    return s.createDataFrame([(crosssection.verdict(ratio, r2),)], "verdict string")
 
 
 # --- the earlier study ------------------------------------------------------------------------------------------------------------------------

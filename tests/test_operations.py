@@ -3,12 +3,13 @@
 import argparse
 from datetime import UTC, date, datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom import cli, schemas
-from quantloom.operators import carry, overfit, quality, universe
+from quantloom.operators import carry, crosssection, overfit, quality, significance, universe
 from quantloom.plans import registry, reports
 from quantloom.sources import archive, exchange
 from quantloom.streaming import control
@@ -155,3 +156,24 @@ def test_command_lines(spark, tmp_path):
         assert "full_sharpe" in said[0]
     with pytest.raises(SystemExit):
         cli.main(["archive", "--root", root, "--snapshot", "2026-01"])
+
+
+def test_residual_is_what_least_squares_leave(spark):
+    rows = [(float(i % 7) - 2.5 + 0.3 * (i % 5), float(i % 5)) for i in range(60)] + [(None, 1.0)]
+    x = spark.createDataFrame(rows, "y double, x double")
+    one, left = crosssection.ols(x, "y", ["x"]), np.array([y for y, _ in rows[:-1]])
+    left = left - one["b_x"] * np.array([v for _, v in rows[:-1]])
+    ratio, r2 = crosssection.residual(x, "y", "x", 52.0)
+    assert ratio == pytest.approx(left.mean() / left.std(ddof=1) * 52**0.5) and r2 == pytest.approx(one["r2"])
+    assert crosssection.residual(x.withColumn("x", F.lit(1.0)), "y", "x", 52.0)[0] == 0.0
+
+
+def test_deflated_ratios_of_many_series_are_the_ratio_of_each(spark):
+    g = np.random.default_rng(3)
+    series = {"a": g.normal(0.05, 1, 300), "b": g.normal(-0.1, 2, 50), "c": np.array([0.1, -0.2, 0.3]), "d": np.full(20, 0.1), "e": g.normal(3, 0.1, 40)}
+    rows = [(k, float(v)) for k, x in series.items() for v in x] + [("a", None), ("a", float("nan"))]
+    got = {r["k"]: r["dsr"] for r in significance.deflated(spark.createDataFrame(rows, "k string, r double"), "r", ["k"], 20).collect()}
+    for k, x in series.items():
+        want = significance.from_returns(x, 20)
+        assert got[k] is None if want != want else got[k] == pytest.approx(want, abs=1e-12)
+    assert got["c"] is None and got["d"] is None
